@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.errors import ConfigurationError
 
@@ -65,7 +66,7 @@ def fold(term: str) -> str:
     return unicodedata.normalize("NFKD", term).encode("ascii", "ignore").decode() or term
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _fold_all(terms: pd.Series) -> pd.Series:
     return terms.map(lambda xs: None if xs is None else [fold(x) for x in xs])
 

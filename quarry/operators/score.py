@@ -40,16 +40,17 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
     """Starts of the phrase in a document: of its first term, such that the nearest next
     terms take at most ``slop`` extra positions."""
     terms, n = c(f"{node.field}__terms"), len(node.terms)
-    if node.slop == 0 and f"{node.field}__pos" not in index.columns:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(terms) - n),
-            lambda i: F.forall(F.array(*[F.get(terms, i + k) == F.lit(t) for k, t in enumerate(node.terms)]), lambda x: x),
-        )
-        fits = F.size(terms) >= n
-    else:
-        at = c(f"{node.field}__pos") if f"{node.field}__pos" in index.columns else F.transform(terms, lambda x, i: i)
-        placed = F.arrays_zip(terms.alias("term"), at.alias("pos"))
+    gaps = f"{node.field}__pos" in index.columns
+    if node.slop == 0 and not gaps:
+        # every window of n terms, side by side; the terms are evaluated once
+        def windows(t: Column) -> Column:
+            beside = F.arrays_zip(*[F.slice(t, k + 1, F.size(t)).alias(f"t{k}") for k in range(n)])
+            return F.size(F.filter(beside, lambda x: x == F.struct(*[F.lit(w).alias(f"t{k}") for k, w in enumerate(node.terms)])))
 
+        return F.coalesce(_let(terms, windows), F.lit(0))
+    at = c(f"{node.field}__pos") if gaps else F.transform(terms, lambda x, i: i)
+
+    def starts(placed: Column) -> Column:
         def place(term: str) -> Column:
             return F.transform(F.filter(placed, lambda x: x["term"] == F.lit(term)), lambda x: x["pos"])
 
@@ -60,10 +61,9 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
                 return here - start - (n - 1) <= node.slop
             return _let(F.array_min(F.filter(places[k], lambda q: q > here)), lambda q: spread(start, k + 1, q))
 
-        starts, fits = F.filter(places[0], lambda p: spread(p, 1, p)), F.size(terms) > 0
-    for t in dict.fromkeys(node.terms):
-        fits = fits & F.array_contains(terms, t)
-    return F.when(fits, F.size(starts)).otherwise(0)
+        return F.size(F.filter(places[0], lambda p: F.coalesce(spread(p, 1, p), F.lit(False))))
+
+    return F.coalesce(_let(F.arrays_zip(terms.alias("term"), at.alias("pos")), starts), F.lit(0))
 
 
 def _within(node: Range) -> Callable[[Column], Column]:

@@ -116,6 +116,11 @@ def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Da
     return cut.withColumn("stop", F.least(F.col("start") + range_bytes, "size"))
 
 
+def _strings(values) -> pd.Series:
+    """Plain objects: Arrow can't take pandas' own string columns where they are empty."""
+    return pd.Series([None if pd.isna(x) else x for x in values], dtype=object)
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
@@ -123,7 +128,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 got = scan_range(f, row.size, row.start, row.stop)
             offsets, successors = np.array([x[0] for x in got], dtype=np.int64), np.array([x[2] for x in got], dtype=np.int64)
             n = len(got)
-            yield pd.DataFrame({"file": [row.file] * n, "start": [row.start] * n, "offset": offsets, "body": [x[1] for x in got], "successor": successors, "exit": _exits(offsets, successors, row.stop), "record": [x[3].get("warc-record-id") for x in got], "uri": [x[3].get("warc-target-uri") for x in got]})
+            yield pd.DataFrame({"file": _strings([row.file] * n), "start": [row.start] * n, "offset": offsets, "body": [x[1] for x in got], "successor": successors, "exit": _exits(offsets, successors, row.stop), "record": _strings([x[3].get("warc-record-id") for x in got]), "uri": _strings([x[3].get("warc-target-uri") for x in got])})
 
 
 CANDIDATES = "file string, start long, offset long, body long, successor long, exit long, record string, uri string"
@@ -158,7 +163,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
             for body, end in zip(kept["body"], kept["successor"] - len(END)):
                 f.seek(body)
                 digests.append(hashlib.md5(f.read(end - body)).hexdigest())
-    return pd.DataFrame({"file": kept["file"], "offset": kept["offset"], "record": kept["record"], "uri": kept["uri"], "length": kept["successor"] - len(END) - kept["body"], "payload_md5": digests})
+    return pd.DataFrame({"file": _strings(kept["file"]), "offset": kept["offset"].to_numpy(), "record": _strings(kept["record"]), "uri": _strings(kept["uri"]), "length": (kept["successor"] - len(END) - kept["body"]).to_numpy(), "payload_md5": _strings(digests)})
 
 
 def records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

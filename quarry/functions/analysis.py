@@ -162,11 +162,12 @@ def millis(at: Column) -> Column:
 
 
 def python_float(x: Column) -> Column:
-    """A double as Python's str() writes it."""
+    """A double as Python's str() writes it, but for the few (subnormals above all) that the
+    JVM's own conversion gives a digit more."""
     s = x.cast("string")
     plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
     mantissa = F.regexp_replace(F.split(s, "E")[0], r"\.0$", "")
     power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
-    exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
     inside = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)
     return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(~s.contains("E"), s).when(inside, plain).otherwise(F.concat(mantissa, exponent))

@@ -28,20 +28,20 @@ def rule_columns(text: Column) -> dict[str, Column]:
     """One boolean a rule, true where the text fails it; never null."""
     text = F.coalesce(text, F.lit(""))
     chars = F.length(text)
-    gone = lambda pattern: chars - F.length(F.regexp_replace(text, pattern, ""))
+    kept = lambda others: F.length(F.regexp_replace(text, others, ""))  # noqa: E731  runs go at once
     words = F.regexp_count(text, F.lit(r"\S+"))
-    letters = gone(r"\p{L}")
+    letters = kept(r"\P{L}+")
     lines = F.split(text, "\n")
     again = F.regexp_count(text, F.lit(r"(?<!\S)(\S++)(?=\s+\1(?!\S))"))
     some = words > 0
     return {
         "empty": ~some,
-        "symbols": some & (gone(SYMBOLS) > 0.04 * chars),
-        "shouting": some & (letters >= 20) & (gone(r"\p{Lu}") > 0.5 * letters),
-        "tables": some & (gone(r"\|") > 0.2 * words),
+        "symbols": some & (chars - kept(SYMBOLS) > 0.04 * chars),
+        "shouting": some & (letters >= 20) & (kept(r"\P{Lu}+") > 0.5 * letters),
+        "tables": some & (chars - F.length(F.replace(text, F.lit("|"), F.lit(""))) > 0.2 * words),
         "repeats": some & (words >= 10) & (again > 0.2 * words),
         "dup_lines": some & (F.size(lines) >= 4) & (F.size(F.array_distinct(lines)) < 0.5 * F.size(lines)),
-        "word_length": some & (gone(r"\S") > 30 * words),
+        "word_length": some & (kept(r"\s+") > 30 * words),
     }
 
 
@@ -84,13 +84,13 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that :func:`assess` keeps, all columns as they were. The rules
-    are evaluated again in the filter, so that no text is shuffled."""
-    verdicts = small_side(host_verdicts(failures(docs, text=text, host=host), host_limit).where("q_reject").select(F.col("q_host").alias("__v_host")), "hosts")
-    bad = F.lit(False)
-    for c in rule_columns(docs[text]).values():
-        bad = bad | c
-    good = docs.where(~bad)
-    return good.join(verdicts, good[host].eqNullSafe(F.col("__v_host")), "left_anti")
+    run once: rows and flags are written, and no text is shuffled."""
+    flags = [c.alias(f"__q_{r}") for r, c in rule_columns(docs[text]).items()]
+    marked = saved(docs.select(*docs.columns, *flags), "marked")
+    counted = marked.select(F.col(host).alias("q_host"), *[F.col(f"__q_{r}").alias(f"q_{r}") for r in RULES])
+    verdicts = small_side(host_verdicts(counted, host_limit).where("q_reject").select(F.col("q_host").alias("__v_host")), "hosts")
+    good = marked.where(" and ".join(f"not __q_{r}" for r in RULES))
+    return good.join(verdicts, good[host].eqNullSafe(F.col("__v_host")), "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -1,18 +1,20 @@
 """SimHash near-duplicates with pivot distance tables.
 
 A document's fingerprint is two 64-bit SimHash lanes over its set of lower-cased words.
-Two fingerprints are near when lane 1 differs in at most ``near`` bits and both lanes
-together in at most ``total`` bits; documents are grouped by the connected components of
-that relation.
-
-Pairs are found exactly. Two lanes that differ in at most 8 of 64 bits agree on at least
-two of ten blocks of bits, so each distinct fingerprint goes to one bucket for every pair
-of blocks. A pivot table alone would compare all pairs of the corpus; inside a bucket it
-does the pruning: the distances of each member to ``PIVOTS`` reference fingerprints are
-computed once, a pair is discarded as soon as one coordinate differs by more than
-``near`` (triangle inequality), and the survivors are verified bit by bit. A bucket sends
-on a spanning star of each of its groups instead of all pairs, so large groups of copies
-cost no quadratic output.
+Two fingerprints are near when both lanes together differ in at most ``total`` bits;
+documents are grouped by the connected components of that relation.
+
+Pairs are found exactly. The 128 bits are cut into seven stretches; 21 differing bits would
+be needed to put three into each, so near fingerprints differ in at most two bits of some
+stretch, and of its ``agree + 2`` blocks they share at least ``agree``. Each distinct
+fingerprint goes to one bucket for every choice of ``agree`` blocks of every stretch
+(:func:`masks`); ``agree`` rises with the corpus, to keep buckets small. A pivot table
+alone would compare all pairs of the corpus; here it prunes inside large buckets: the
+distances of their members to ``PIVOTS`` reference fingerprints are computed once, the
+members are sorted by the most spread of them, and pairs whose distances differ by more
+than ``total`` (triangle inequality) are left out. What stays is verified bit by bit. A
+bucket sends on a spanning star of each of its groups instead of all pairs, so large groups
+of copies cost no quadratic output.
 
 Defined cases: null texts, and texts without a word, have no fingerprint and are in no
 group; rows with a null doc_id are in no group; repeated rows count once in
@@ -35,19 +37,41 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, saved
 
-NEAR, TOTAL = 8, 20
-BLOCKS = 10
+TOTAL = 20
+#: Most bits of one lane: no limit beyond that on both.
+NEAR = TOTAL
+STRETCHES, SPARE = 7, 2  # STRETCHES * (SPARE + 1) > TOTAL
+AGREE = (3, 6)
 PIVOTS = 16
+#: Buckets up to this size are compared whole.
+WHOLE = 256
 #: Pairs compared at a time; bounds the memory of a bucket of any size.
-PAIRS = 1 << 21
+PAIRS = 1 << 17
+#: Found pairs held before they are reduced to stars.
+HELD = 1 << 20
 WORD = re.compile(r"[^\W_]+")
 #: Words remembered by a Python worker; a bound on memory, not on what is hashed.
 MEMO = 2_000_000
 
-_EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-_BLOCK = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:])]
-MASKS = [x | y for x, y in combinations(_BLOCK, 2)]
-_REFERENCES = np.array([xxhash.xxh64_intdigest(f"reference {i}") for i in range(PIVOTS)], dtype=np.uint64)
+_REFERENCES = np.array([[xxhash.xxh64_intdigest(f"reference {k} {i}") for i in range(PIVOTS)] for k in range(2)], dtype=np.uint64)
+
+
+def masks(agree: int) -> list[tuple[int, int]]:
+    """(mask of hi, mask of lo) of every choice of ``agree`` blocks of a stretch."""
+    out = []
+    for k in range(STRETCHES):
+        a, b = round(128 * k / STRETCHES), round(128 * (k + 1) / STRETCHES)
+        n = agree + SPARE
+        edges = [a + round((b - a) * i / n) for i in range(n + 1)]
+        blocks = [((1 << (y - x)) - 1) << x for x, y in zip(edges, edges[1:])]
+        out += [(m >> 64, m & (1 << 64) - 1) for m in map(sum, combinations(blocks, agree))]
+    return out
+
+
+def agreeing(rows: int) -> int:
+    """The blocks to agree on, so that evenly spread rows would give small buckets."""
+    few, most = AGREE
+    return next((k for k in range(few, most) if rows >> round(128 / STRETCHES * k / (k + SPARE)) < WHOLE), most)
 
 
 class Fingerprinter:
@@ -83,41 +107,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return rows.mapInPandas(run, "doc_id bigint, hi bigint, lo bigint, mark bigint")
 
 
-def _bucket_pairs(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of all pairs inside each bucket, about ``PAIRS`` at a time."""
-    rows = np.repeat(starts + sizes, sizes) - np.arange(starts[0], starts[-1] + sizes[-1]) - 1  # partners after each
-    first = np.arange(starts[0], starts[-1] + sizes[-1])
-    live = rows > 0
-    rows, first = rows[live], first[live]
-    if not len(rows):
-        return
-    total = np.cumsum(rows)
-    at = 0
-    while at < len(rows):
-        base = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + PAIRS, "right")))
-        n, f = rows[at:end], first[at:end]
-        i = np.repeat(f, n)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
-        yield i, j
-        at = end
-
-
-def near_pairs(hi: np.ndarray, lo: np.ndarray, sizes: np.ndarray, near: int = NEAR, total: int = TOTAL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs among rows that lie bucket after bucket, ``sizes`` rows each."""
-    if not len(sizes):
-        return
-    pivots = np.bitwise_count(hi[None, :] ^ _REFERENCES[:, None]).astype(np.int8)
+def near_pairs(hi: np.ndarray, lo: np.ndarray, sizes: np.ndarray, total: int = TOTAL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs (i, j), i < j, among rows that lie bucket after bucket, ``sizes`` rows
+    each."""
     starts = np.cumsum(sizes) - sizes
-    for i, j in _bucket_pairs(sizes, starts):
-        for row in pivots:
-            ok = np.abs(row[i] - row[j]) <= near
-            i, j = i[ok], j[ok]
-            if len(i) < 4096:
-                break
-        d = np.bitwise_count(hi[i] ^ hi[j])
-        ok = (d <= near) & (d + np.bitwise_count(lo[i] ^ lo[j]) <= total)
-        yield i[ok], j[ok]
+    for start, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        order, far = np.arange(start, start + n), None
+        if n > WHOLE:
+            tables = np.bitwise_count(hi[order] ^ _REFERENCES[0][:, None]) + np.bitwise_count(lo[order] ^ _REFERENCES[1][:, None])
+            far = tables[tables.var(axis=1).argmax()].astype(np.int64)
+            by = far.argsort(kind="stable")
+            order, far = order[by], far[by]
+        h, w = hi[order], lo[order]
+        step = max(1, min(128, PAIRS // n))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            end = n if far is None else int(np.searchsorted(far, far[b - 1] + total, "right"))
+            d = np.bitwise_count(h[a:b, None] ^ h[None, a:end])
+            d += np.bitwise_count(w[a:b, None] ^ w[None, a:end])
+            x, y = np.divmod(np.flatnonzero(d <= total), end - a)
+            x, y = order[a + x[x < y]], order[a + y[x < y]]
+            if len(x):
+                yield np.minimum(x, y), np.maximum(x, y)
 
 
 def _stars(pairs: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +155,14 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask, part = pdf["mask"].to_numpy(), pdf["part"].to_numpy()
         cut = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
         bounds = np.concatenate([[0], cut, [len(pdf)]])
-        pairs = list(near_pairs(pdf["hi"].to_numpy().view(np.uint64), pdf["lo"].to_numpy().view(np.uint64), np.diff(bounds)))
-        if not sum(len(i) for i, _ in pairs):
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        held_pairs = 0
+        for pair in near_pairs(pdf["hi"].to_numpy().view(np.uint64), pdf["lo"].to_numpy().view(np.uint64), np.diff(bounds)):
+            pairs.append(pair)
+            held_pairs += len(pair[0])
+            if held_pairs > HELD:
+                pairs, held_pairs = [_stars(pairs, np.arange(len(pdf)))], 0
+        if not pairs:
             return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
         a, b = _stars(pairs, pdf["node"].to_numpy())
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
@@ -175,7 +192,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 def _members(prints: DataFrame) -> DataFrame:
     """(doc_id, mark, root) of every fingerprinted row."""
     distinct = saved(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "prints")
-    keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("hi").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for k, m in enumerate(MASKS)])
+    signed = lambda m: F.lit(m if m < 1 << 63 else m - (1 << 64))
+    # a stretch lies in one lane, or at the end of one and the start of the other: no bits clash
+    parts = [F.col("hi").bitwiseAND(signed(x)).bitwiseOR(F.col("lo").bitwiseAND(signed(y))) for x, y in masks(agreeing(distinct.count()))]
+    keys = F.array(*[F.struct(F.lit(k).alias("mask"), part.alias("part")) for k, part in enumerate(parts)])
     spread = distinct.select("hi", "lo", "node", F.explode(keys).alias("k")).select("k.mask", "k.part", "hi", "lo", "node")
     found = spread.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInPandas(_edges, "a bigint, b bigint")
     roots = components(found.distinct())

@@ -107,6 +107,34 @@ def test_simhash_groups_against_brute_force(spark):
     assert {(r["doc_id"], r["group_id"]) for r in simhash.groups(table(spark, docs)).collect()} == want
 
 
+def test_simhash_recall_on_edited_documents(spark):
+    """Copies with a few words replaced are grouped with what they copy, whichever lane
+    their differing bits fall in, and nothing else is."""
+    g, docs = random.Random(17), []
+    for i in range(150):
+        words = prose(150, 3000 + i).split()
+        docs.append((2 * i, " ".join(words), "s"))
+        for k in g.sample(range(150), 5):
+            words[k] = f"edited{i}x{k}"
+        docs.append((2 * i + 1, " ".join(words), "s"))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(table(spark, docs)).collect()}
+    make = simhash.Fingerprinter()
+    lanes = [make.lanes(t) for _, t, _ in docs]
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    near = {i for i in range(0, 300, 2) if bits(lanes[i][0], lanes[i + 1][0]) + bits(lanes[i][1], lanes[i + 1][1]) <= simhash.TOTAL}
+    assert len(near) >= 140 and {i for i in range(0, 300, 2) if got.get(i) == got.get(i + 1) == i} == near
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_simhash_buckets_hold_every_near_pair():
+    g = np.random.default_rng(8)
+    for k in range(simhash.AGREE[0], simhash.AGREE[1] + 1):
+        for _ in range(300):
+            flips = sum(1 << int(b) for b in g.choice(128, simhash.TOTAL, replace=False))
+            assert any(not (flips >> 64 & x or flips & (1 << 64) - 1 & y) for x, y in simhash.masks(k))
+    assert simhash.agreeing(10) == simhash.AGREE[0] and simhash.agreeing(10**10) == simhash.AGREE[1]
+
+
 def test_components_of_a_long_path(spark):
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in components(path).collect()} == {0}

@@ -6,14 +6,17 @@ induce lexical patterns, three a mention: the span's exact shape; its coarse sha
 the word before; its coarse shape with the word after. Patterns and instances (distinct
 spans) form a bipartite graph, scored in ``rounds`` rounds for each type:
 
-    conf(p)  = sum of score(i) over the instances of p / (instances of p + 1)
-    score(i) = 1 for a seed, else the greatest conf(p) >= ``trust`` among i's patterns
-               with at least ``support`` instances, else 0
+    conf(p)  = sum of vouch(i, p) over the instances i of p / (instances of p + 1)
+    vouch    = 1 for a seed, else the greatest conf(q) >= ``accept`` among i's patterns q
+               of another kind than p's with at least ``support`` instances, else 0
+    score(i) = 1 for a seed, else the greatest conf(p) >= ``accept`` among all i's
+               patterns with at least ``support`` instances
 
 so patterns that seeds mostly fill pull in identifiers no validator knows (numbers that
-fail a check digit, say), and their new instances raise further patterns. Instances that
-end at ``accept`` or more are identifiers, of the type of greatest score (ties: the first
-by name).
+fail a check digit, say), and their new instances raise patterns of other kinds. An
+instance never vouches for the kind of pattern that found it, so a pattern can't lift
+itself: a shape that seeds and look-alikes share stays at the seeds' part of it. Instances
+with a score are identifiers, of the type of greatest score (ties: the first by name).
 
 Defined cases: null and empty texts have no mention; a null doc_id is carried through;
 repeated rows give their mentions each, instances count once; extra columns are kept by
@@ -32,7 +35,9 @@ CANDIDATE = (
     r"|(?:\+\d{1,3}[ .\-]?)?\(\d{2,5}\)[ .\-]?\d+(?:[ .\-]\d+)*"
     r"|(?<![\p{L}\d])\+?\p{L}*+\d[\p{L}\d]*+(?:[.\-/:]\p{L}*+\d[\p{L}\d]*+)*+"
 )
-ROUNDS, TRUST, SUPPORT, ACCEPT = 5, 0.4, 3, 0.75
+ROUNDS, SUPPORT, ACCEPT = 5, 3, 0.75
+#: Kinds of patterns, by the first letter: shape, left and right word.
+KINDS = ("s", "l", "r")
 
 
 def seed_rules(value: Column) -> dict[str, Column]:
@@ -77,7 +82,7 @@ def candidates(docs: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
     return each.select(*kept, "mention", "value", last.alias("left"), first.alias("right"))
 
 
-def scores(mentions: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
+def scores(mentions: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """(value, pii_type, score, seeded) of accepted instances. ``mentions`` has value, left
     and right; ``seeds`` (value, pii_type) adds to the validators."""
     value = F.col("value")
@@ -97,14 +102,18 @@ def scores(mentions: DataFrame, seeds: DataFrame | None = None, rounds: int = RO
     if seeds is not None:
         seeded = seeded.unionByName(values.join(seeds.select("value", "pii_type"), "value"))
     seeded = saved(seeded.distinct(), "seeds")
-    score = seeded.withColumn("score", F.lit(1.0))
+    kind = F.substring("pattern", 1, 1)
+    known = seeded.select("value", "pii_type", *[F.lit(1.0).alias(k) for k in KINDS])
+    score = known
     for _ in range(rounds):
-        conf = edges.join(score, "value").groupBy("pattern", "pii_type").agg((F.sum("score") / (F.first("n") + 1.0)).alias("conf")).where(F.col("conf") >= trust)
-        found = edges.join(conf, "pattern").groupBy("value", "pii_type").agg(F.max("conf").alias("score"))
-        known = seeded.select("value", "pii_type", F.lit(1.0).alias("score"))
-        score = saved(found.unionByName(known).groupBy("value", "pii_type").agg(F.max("score").alias("score")), "scores")
+        # the greatest score by a pattern of another kind; a seed has 1 of every kind
+        vouch = F.greatest(*[F.when(kind != k, F.col(k)) for k in KINDS])
+        conf = edges.join(score, "value").groupBy("pattern", "pii_type").agg((F.sum(vouch) / (F.first("n") + 1.0)).alias("conf")).where(F.col("conf") >= accept)
+        found = edges.join(conf, "pattern").groupBy("value", "pii_type").agg(*[F.coalesce(F.max(F.when(kind == k, F.col("conf"))), F.lit(0.0)).alias(k) for k in KINDS])
+        score = saved(found.unionByName(known).groupBy("value", "pii_type").agg(*[F.max(k).alias(k) for k in KINDS]), "scores")
+    score = score.select("value", "pii_type", F.greatest(*KINDS).alias("score"))
     best = score.groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("k"), "pii_type", "score")).alias("b")).select("value", "b.pii_type", "b.score")
-    return best.where(F.col("score") >= accept).join(seeded.withColumn("s", F.lit(True)), ["value", "pii_type"], "left").select("value", "pii_type", F.round("score", 6).alias("score"), F.coalesce("s", F.lit(False)).alias("seeded"))
+    return best.join(seeded.withColumn("s", F.lit(True)), ["value", "pii_type"], "left").select("value", "pii_type", F.round("score", 6).alias("score"), F.coalesce("s", F.lit(False)).alias("seeded"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text: str = "text", seeds: DataFrame | None = None, **how) -> DataFrame:

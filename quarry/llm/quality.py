@@ -8,8 +8,9 @@ when it passes every rule and its host is not rejected.
 
 Defined cases: a null or blank text fails ``empty`` alone; a null host is a host of its
 own; repeated rows count and are returned each; columns beyond id, text and host are
-ignored, so their names can't clash; an empty table gives an empty result; with fewer than
-two hosts, or hosts that don't differ, the prior is Beta(m, 1 - m) of the corpus rate m.
+ignored by :func:`assess` and kept by :func:`keep_good`, under any names; an empty table
+gives an empty result; with fewer than two hosts, or hosts that don't differ, the prior is
+Beta(m, 1 - m) of the corpus rate m.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, small_side
+from quarry.llm.common import plain, saved, small_side
 
 RULES = ("empty", "symbols", "shouting", "tables", "repeats", "dup_lines", "word_length")
 SYMBOLS = r"[#$%&*!|~^<>{}=]"
@@ -45,11 +46,6 @@ def rule_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def failures(docs: DataFrame, *keep: Column, text: str = "text", host: str = "source") -> DataFrame:
-    """``keep`` columns, q_host, and a boolean q_<rule> each."""
-    return docs.select(*keep, docs[host].alias("q_host"), *[c.alias(f"q_{r}") for r, c in rule_columns(docs[text]).items()])
-
-
 def host_verdicts(failed: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """(q_host, q_docs, q_rate, q_reject): q_rate is the largest shrunk rate of a host."""
     counts = failed.groupBy("q_host").agg(F.count("*").alias("n"), *[F.sum(F.col(f"q_{r}").cast("long")).alias(r) for r in RULES])
@@ -73,7 +69,9 @@ def host_verdicts(failed: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """(doc_id, host, failed, host_rate, host_rejected, kept), a row for each document."""
-    failed = saved(failures(docs, docs[id_col].alias("q_id"), text=text, host=host), "quality")
+    rows, (i, t, h) = plain(docs, id_col, text, host)
+    flags = [c.alias(f"q_{r}") for r, c in rule_columns(F.col(t)).items()]
+    failed = saved(rows.select(F.col(i).alias("q_id"), F.col(h).alias("q_host"), *flags), "quality")
     verdicts = small_side(host_verdicts(failed, host_limit).select(F.col("q_host").alias("v_host"), "q_rate", "q_reject"), "hosts")
     names = F.concat_ws(",", *[F.when(F.col(f"q_{r}"), F.lit(r)) for r in RULES])
     return failed.join(verdicts, F.col("q_host").eqNullSafe(F.col("v_host")), "left").select(
@@ -85,12 +83,12 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that :func:`assess` keeps, all columns as they were. The rules
     run once: rows and flags are written, and no text is shuffled."""
-    flags = [c.alias(f"__q_{r}") for r, c in rule_columns(docs[text]).items()]
-    marked = saved(docs.select(*docs.columns, *flags), "marked")
-    counted = marked.select(F.col(host).alias("q_host"), *[F.col(f"__q_{r}").alias(f"q_{r}") for r in RULES])
-    verdicts = small_side(host_verdicts(counted, host_limit).where("q_reject").select(F.col("q_host").alias("__v_host")), "hosts")
-    good = marked.where(" and ".join(f"not __q_{r}" for r in RULES))
-    return good.join(verdicts, good[host].eqNullSafe(F.col("__v_host")), "left_anti").select(*docs.columns)
+    rows, (t, h) = plain(docs, text, host)
+    marked = saved(rows.select("*", *[c.alias(f"q_{r}") for r, c in rule_columns(F.col(t)).items()]), "marked")
+    counted = marked.select(F.col(h).alias("q_host"), *[f"q_{r}" for r in RULES])
+    verdicts = small_side(host_verdicts(counted, host_limit).where("q_reject").select(F.col("q_host").alias("v_host")), "hosts")
+    good = marked.where(" and ".join(f"not q_{r}" for r in RULES))
+    return good.join(verdicts, good[h].eqNullSafe(F.col("v_host")), "left_anti").select(*rows.columns).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -8,14 +8,16 @@ T - sum(floor(e)), exactly that many documents get one copy more: those of the l
 (u / (1 - u)) / (f / (1 - f)), u being a hash of doc_id in (0, 1).
 
 The rank limit of a source is found by histogram: odds are binned, the bin that holds the
-limit is found from counts, and only that bin's rows are sorted; no source, however hot,
-is sorted in one task.
+limit is found from counts, and only that bin's distinct keys are sorted, rows alike being
+counted first; no source, however hot, is sorted in one task. Remainders of the shares are
+ranked in ranges, so there may be as many sources as there are hosts. Texts are read twice
+by :func:`mix` (sizes and hashes first, then the rows) and once by :func:`allocate`.
 
 Defined cases: a null source is a source of its own; a null text has 0 characters; a null
-doc_id hashes as the word null; rows alike in doc_id and text hash and fall together (all
-of them are taken when the limit falls on them, so a share may be exceeded by such a
-surplus); a source without a given weight has weight 0; extra columns are kept by
-:func:`mix` and ignored by :func:`allocate`; an empty table gives an empty result.
+doc_id hashes as the word null; ties in the rank go by doc_id and text hash; of rows alike
+in all three as many are taken as the share has left, the first in the order of the input;
+a source without a given weight has weight 0; extra columns are kept by :func:`mix` under
+any names and ignored by :func:`allocate`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,101 +25,118 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, small_side
+from quarry.llm.common import numbered, plain, saved, small_side
 
 TEMPERATURE = 0.5
-BINS = 4096
+#: Bins a unit of the logarithm of the odds.
+BINS = 512
 NULL_SOURCE = "\u0000null"
 
 
-def _keys(docs: DataFrame, id_col: str, text: str, source: str) -> dict[str, Column]:
-    who = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
+def _keys(i: str, t: str, s: str) -> dict[str, Column]:
+    who = F.coalesce(F.col(i).cast("string"), F.lit("null"))
     u = (F.conv(F.substring(F.md5(who), 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2**52))
     return {
-        "__m_source": F.coalesce(docs[source], F.lit(NULL_SOURCE)),
-        "__m_size": F.sqrt(F.coalesce(F.length(docs[text]), F.lit(0)) + F.lit(1.0)),
-        "__m_odds": u / (1 - u),
-        "__m_id": F.coalesce(docs[id_col].cast("bigint"), F.lit(-(2**63))),
-        "__m_text": F.xxhash64(docs[text]),
+        "m_source": F.coalesce(F.col(s).cast("string"), F.lit(NULL_SOURCE)),
+        "m_size": F.sqrt(F.coalesce(F.length(t), F.lit(0)) + F.lit(1.0)),
+        "m_odds": u / (1 - u),
+        "m_id": F.coalesce(F.col(i).cast("bigint"), F.lit(-(2**63))),
+        "m_text": F.xxhash64(t),
     }
 
 
 def _shares(rows: DataFrame, weights: dict[str, float] | None, temperature: float, budget: int | None) -> DataFrame:
-    """(source, size, share): one row a source."""
-    per = saved(rows.groupBy("__m_source").agg(F.count("*").alias("n"), F.sum("__m_size").alias("size")), "sources")
+    """(s_source, s_size, s_share): one row a source."""
+    per = saved(rows.groupBy("m_source").agg(F.count("*").alias("n"), F.sum("m_size").alias("size")), "sources")
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (NULL_SOURCE if k is None else k, float(v))])
-        weight = F.coalesce(given[F.col("__m_source")], F.lit(0.0))
-    total = per.agg(F.sum(weight).alias("w"), F.sum("n").alias("all"))
-    exact = F.col("weight") / F.col("w") * (F.col("all") if budget is None else F.lit(budget))
-    part = per.withColumn("weight", weight).crossJoin(F.broadcast(total)).withColumn("exact", F.coalesce(exact, F.lit(0.0)))  # one row
+        weight = F.coalesce(given[F.col("m_source")], F.lit(0.0))
+    total = per.agg(F.sum(weight).alias("w"), F.sum("n").alias("all")).first()
+    exact = F.col("weight") / F.lit(total["w"]) * F.lit(total["all"] if budget is None else budget)
+    part = per.withColumn("weight", weight).withColumn("exact", F.coalesce(exact, F.lit(0.0)))
     part = part.withColumn("low", F.floor("exact")).withColumn("rest", F.round(F.col("exact") - F.col("low"), 9))
-    spare = part.agg((F.round(F.sum("exact")) - F.sum("low")).cast("long").alias("spare"))
-    # one row a source: the ranking of remainders is small next to the documents
-    part = part.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rest"), F.asc("__m_source"))))
-    return part.crossJoin(F.broadcast(spare)).select(
-        F.col("__m_source").alias("__s_source"), F.col("size").alias("__s_size"),
-        (F.col("low") + (F.col("place") <= F.col("spare")).cast("long")).alias("__s_share"),
+    spare = part.agg((F.round(F.sum("exact")) - F.sum("low")).cast("long")).first()[0] or 0
+    part = numbered(part, F.desc("rest"), F.asc("m_source"))
+    return part.select(
+        F.col("m_source").alias("s_source"), F.col("size").alias("s_size"),
+        (F.col("low") + (F.col("place") <= spare).cast("long")).alias("s_share"),
     )
 
 
 def _expected(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    e = F.round(F.col("__s_share") * F.col("__m_size") / F.col("__s_size"), 9)
-    out = rows.join(shares, F.col("__m_source") == F.col("__s_source")).withColumn("__m_e", e).withColumn("__m_whole", F.floor("__m_e"))
-    f = F.col("__m_e") - F.col("__m_whole")
-    rank = F.when(f > 0, F.col("__m_odds") * ((1 - f) / f))
-    return out.withColumn("__m_q", rank)
-
-
-def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights, temperature, budget) -> DataFrame:
-    """A row a source: its size, share and rank limit."""
-    rows = docs.select(*[c.alias(k) for k, c in _keys(docs, id_col, text, source).items()])
-    shares = saved(_shares(rows, weights, temperature, budget), "shares")
-    drawn = _expected(rows, small_side(shares, "shares")).withColumn("bin", F.floor(F.col("__m_q") / (1 + F.col("__m_q")) * BINS))
-    counts = saved(drawn.groupBy("__m_source", "bin").agg(F.count("*").alias("n"), F.sum("__m_whole").alias("whole"), F.first("__s_share").alias("share")), "bins")
-    need = counts.groupBy("__m_source").agg((F.first("share") - F.sum("whole")).alias("need"))
-    below = F.sum("n").over(Window.partitionBy("__m_source").orderBy("bin"))  # at most BINS rows a source
-    at = counts.where("bin is not null").join(need, "__m_source").withColumn("upto", below)
-    at = at.where("need > 0 and upto >= need and upto - n < need").select(F.col("__m_source").alias("b_source"), F.col("bin").alias("b_bin"), (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
-    place = F.row_number().over(Window.partitionBy("__m_source").orderBy("__m_q", "__m_id", "__m_text"))
+    e = F.round(F.col("s_share") * F.col("m_size") / F.col("s_size"), 9)
+    out = rows.join(shares, F.col("m_source") == F.col("s_source")).withColumn("m_e", e).withColumn("m_whole", F.floor("m_e"))
+    f = F.col("m_e") - F.col("m_whole")
+    return out.withColumn("m_q", F.when(f > 0, F.col("m_odds") * ((1 - f) / f)))
+
+
+def _plan(keys: DataFrame, weights, temperature, budget) -> DataFrame:
+    """A row a source: its size, share and rank limit; l_take of the l_rows rows alike that
+    lie on the limit are drawn."""
+    shares = saved(_shares(keys, weights, temperature, budget), "shares")
+    drawn = _expected(keys, small_side(shares, "shares")).withColumn("bin", F.floor(F.ln("m_q") * BINS))
+    counts = saved(drawn.groupBy("m_source", "bin").agg(F.count("*").alias("n"), F.sum("m_whole").alias("whole"), F.first("s_share").alias("share")), "bins")
+    need = counts.groupBy("m_source").agg((F.first("share") - F.sum("whole")).alias("need"))
+    below = F.sum("n").over(Window.partitionBy("m_source").orderBy("bin"))  # some thousand bins a source
+    at = counts.where("bin is not null").join(need, "m_source").withColumn("upto", below)
+    at = at.where("need > 0 and upto >= need and upto - n < need").select(F.col("m_source").alias("b_source"), F.col("bin").alias("b_bin"), (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
+    alike = drawn.join(small_side(at, "limits"), (F.col("m_source") == F.col("b_source")) & (F.col("bin") == F.col("b_bin"))).groupBy("m_source", "m_q", "m_id", "m_text").agg(F.count("*").alias("n"), F.first("left").alias("left"))
+    upto = F.sum("n").over(Window.partitionBy("m_source").orderBy("m_q", "m_id", "m_text"))
     limit = (
-        drawn.join(small_side(at, "limits"), (F.col("__m_source") == F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
-        .withColumn("place", place)
-        .where("place = left")
-        .select(F.col("__m_source").alias("l_source"), F.col("__m_q").alias("__l_q"), F.col("__m_id").alias("__l_id"), F.col("__m_text").alias("__l_text"))
+        alike.withColumn("upto", upto)
+        .where("upto >= left and upto - n < left")
+        .select(F.col("m_source").alias("l_source"), F.col("m_q").alias("l_q"), F.col("m_id").alias("l_id"), F.col("m_text").alias("l_text"), F.col("n").alias("l_rows"), F.expr("left - upto + n").alias("l_take"))
     )
     # a source that needs more extra copies than it has fractions (rounding) takes all of them
-    short = counts.where("bin is not null").groupBy("__m_source").agg(F.sum("n").alias("have")).join(need, "__m_source").where("need > have").select(F.col("__m_source").alias("o_source"))
+    short = counts.where("bin is not null").groupBy("m_source").agg(F.sum("n").alias("have")).join(need, "m_source").where("need > have").select(F.col("m_source").alias("o_source"))
     return (
-        shares.join(limit, F.col("__s_source") == F.col("l_source"), "left")
-        .join(short, F.col("__s_source") == F.col("o_source"), "left")
-        .select("__s_source", "__s_size", "__s_share", "__l_q", "__l_id", "__l_text", F.col("o_source").isNotNull().alias("__l_all"))
+        shares.join(limit, F.col("s_source") == F.col("l_source"), "left")
+        .join(short, F.col("s_source") == F.col("o_source"), "left")
+        .select("s_source", "s_size", "s_share", "l_q", "l_id", "l_text", "l_rows", "l_take", F.col("o_source").isNotNull().alias("l_all"))
     )
 
 
-def _copies(docs: DataFrame, id_col: str, text: str, source: str, weights, temperature, budget) -> DataFrame:
-    plan = small_side(_plan(docs, id_col, text, source, weights, temperature, budget), "mix")
-    drawn = _expected(docs.withColumns(_keys(docs, id_col, text, source)), plan)
-    same = F.col("__m_q") == F.col("__l_q")
-    under = (F.col("__m_q") < F.col("__l_q")) | (same & (F.col("__m_id") < F.col("__l_id"))) | (same & (F.col("__m_id") == F.col("__l_id")) & (F.col("__m_text") <= F.col("__l_text")))
-    extra = F.coalesce(under | (F.col("__l_all") & F.col("__m_q").isNotNull()), F.lit(False))
-    return drawn.withColumn("__m_copies", (F.col("__m_whole") + extra.cast("long")).cast("int")).where("__m_copies > 0")
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with keys) drawn at least once, and m_copies."""
+    drawn = _expected(rows, plan)
+    same = F.col("m_q") == F.col("l_q")
+    under = (F.col("m_q") < F.col("l_q")) | (same & (F.col("m_id") < F.col("l_id"))) | (same & (F.col("m_id") == F.col("l_id")) & (F.col("m_text") < F.col("l_text")))
+    on = F.coalesce(same & (F.col("m_id") == F.col("l_id")) & (F.col("m_text") == F.col("l_text")), F.lit(False))
+    extra = F.coalesce(under | (F.col("l_all") & F.col("m_q").isNotNull()), F.lit(False))
+    counted = lambda df, more: df.withColumn("m_copies", (F.col("m_whole") + more.cast("long")).cast("int")).where("m_copies > 0")
+    if plan.where("l_rows > l_take").isEmpty():
+        return counted(drawn, extra | on)
+    split = on & (F.col("l_rows") > F.col("l_take"))
+    # rows alike on a limit: numbered by the task that read them and their place in it
+    some = saved(drawn.where(split).withColumn("m_row", F.monotonically_increasing_id()), "alike")
+    some = some.withColumn("m_task", F.shiftright("m_row", 33))
+    sizes = some.groupBy("s_source", "m_task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s_source").orderBy("m_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = small_side(sizes.select(F.col("s_source").alias("t_source"), F.col("m_task").alias("t_task"), before.alias("t_before")), "starts")
+    place = F.row_number().over(Window.partitionBy("s_source", "m_task").orderBy("m_row")) + F.col("t_before")
+    placed = some.join(starts, (F.col("s_source") == F.col("t_source")) & (F.col("m_task") == F.col("t_task"))).withColumn("m_place", place)
+    more = counted(placed, F.col("m_place") <= F.col("l_take"))
+    return counted(drawn.where(~split), extra | on).unionByName(more.select(*drawn.columns, "m_copies"))
 
 
 def allocate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: int | None = None) -> DataFrame:
     """(doc_id, source, expected, copies) of every document drawn at least once. Without
     ``weights`` a source weighs (its documents)^temperature; without ``budget`` as many
     rows are drawn as there are."""
-    got = _copies(docs.select(id_col, text, source), id_col, text, source, weights, temperature, budget)
-    return got.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.round("__m_e", 6).alias("expected"), F.col("__m_copies").alias("copies"))
+    rows, (i, t, s) = plain(docs, id_col, text, source)
+    keys = saved(rows.select(i, s, *[c.alias(k) for k, c in _keys(i, t, s).items()]), "keys")
+    got = _copies(keys, small_side(_plan(keys, weights, temperature, budget), "mix"))
+    return got.select(F.col(i).alias("doc_id"), F.col(s).alias("source"), F.round("m_e", 6).alias("expected"), F.col("m_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: int | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as it was drawn, all columns as they were."""
-    got = _copies(docs, id_col, text, source, weights, temperature, budget)
-    return got.withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_copies")))).select(*[got[c] for c in docs.columns])
+    rows, (i, t, s) = plain(docs, id_col, text, source)
+    keys = saved(rows.select(*[c.alias(k) for k, c in _keys(i, t, s).items()]), "keys")
+    got = _copies(rows.withColumns(_keys(i, t, s)), small_side(_plan(keys, weights, temperature, budget), "mix"))
+    return got.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 SQL = f"""

@@ -8,19 +8,22 @@ Pairs are found exactly. The 128 bits are cut into seven stretches; 21 differing
 be needed to put three into each, so near fingerprints differ in at most two bits of some
 stretch, and of its ``agree + 2`` blocks they share at least ``agree``. Each distinct
 fingerprint goes to one bucket for every choice of ``agree`` blocks of every stretch
-(:func:`masks`); ``agree`` rises with the corpus, to keep buckets small. A pivot table
-alone would compare all pairs of the corpus; here it prunes inside large buckets: the
-distances of their members to ``PIVOTS`` reference fingerprints are computed once, the
-members are sorted by the most spread of them, and pairs whose distances differ by more
-than ``total`` (triangle inequality) are left out. What stays is verified bit by bit. A
-bucket sends on a spanning star of each of its groups instead of all pairs, so large groups
-of copies cost no quadratic output.
+(:func:`masks`); ``agree`` is what makes rows shipped and pairs compared cheapest for the
+size of the corpus. A pivot table alone would compare all pairs of the corpus; here it
+prunes inside large buckets: the distances of their members to ``PIVOTS`` reference
+fingerprints are computed once, the members are sorted by the most spread of them, and
+pairs whose distances differ by more than ``total`` (triangle inequality) are left out.
+What stays is verified bit by bit. Where many members lie within ``total`` of one of them
+they are joined to it and not compared with each other. A bucket sends on a spanning star
+of each of its groups instead of all pairs, so large groups of copies cost no quadratic
+output. A bucket of more than ``HOT`` members is cut into slices, and pairs of slices are
+compared apart, so no task holds more than two slices.
 
 Defined cases: null texts, and texts without a word, have no fingerprint and are in no
 group; rows with a null doc_id are in no group; repeated rows count once in
 :func:`groups`; :func:`keep_one` keeps, of each group, the row of least doc_id (of rows
 with that doc_id, one of the least text hash); extra columns are ignored or kept as they
-are; empty tables give empty results.
+are, under any names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,18 +38,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, saved
+from quarry.llm.common import components, plain, saved, small_side
 
 TOTAL = 20
 #: Most bits of one lane: no limit beyond that on both.
 NEAR = TOTAL
 STRETCHES, SPARE = 7, 2  # STRETCHES * (SPARE + 1) > TOTAL
-AGREE = (3, 6)
+AGREE = (3, 16)
+#: Microseconds that a row sent to a bucket and a compared pair take, as measured.
+ROW_COST, PAIR_COST = 3.0, 0.005
 PIVOTS = 16
 #: Buckets up to this size are compared whole.
 WHOLE = 256
-#: Pairs compared at a time; bounds the memory of a bucket of any size.
+#: Pairs compared at a time.
 PAIRS = 1 << 17
+#: Members of a bucket, or of a slice of it, that one task holds.
+HOT = 1 << 20
 #: Found pairs held before they are reduced to stars.
 HELD = 1 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -69,9 +76,14 @@ def masks(agree: int) -> list[tuple[int, int]]:
 
 
 def agreeing(rows: int) -> int:
-    """The blocks to agree on, so that evenly spread rows would give small buckets."""
-    few, most = AGREE
-    return next((k for k in range(few, most) if rows >> round(128 / STRETCHES * k / (k + SPARE)) < WHOLE), most)
+    """The number of blocks to agree on for least work, were rows spread evenly."""
+
+    def work(k: int) -> float:
+        n = k + SPARE
+        choices = STRETCHES * n * (n - 1) / 2
+        return choices * (ROW_COST + rows / 2 ** (128 / STRETCHES * k / n) / 2 * PAIR_COST)
+
+    return min(range(AGREE[0], AGREE[1] + 1), key=work)
 
 
 class Fingerprinter:
@@ -103,32 +115,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             got = [(i, x, m) for i, m, x in zip(pdf["doc_id"], pdf["mark"], map(make.lanes, pdf["text"])) if x]
             yield pd.DataFrame({"doc_id": [i for i, _, _ in got], "hi": [x[0] for _, x, _ in got], "lo": [x[1] for _, x, _ in got], "mark": [m for _, _, m in got]})
 
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("mark"))
+    rows, (i, t) = plain(docs, id_col, text)
+    # no id is null here, so pandas leaves bigints as they are
+    rows = rows.select(F.col(i).cast("bigint").alias("doc_id"), F.col(t).alias("text"), F.xxhash64(t).alias("mark")).where("doc_id is not null")
     return rows.mapInPandas(run, "doc_id bigint, hi bigint, lo bigint, mark bigint")
 
 
+def _close(h: np.ndarray, w: np.ndarray, total: int, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in ``a`` and in ``b``, of the pairs within ``total`` bits."""
+    d = np.bitwise_count(h[a, None] ^ h[None, b])
+    d += np.bitwise_count(w[a, None] ^ w[None, b])
+    x, y = np.divmod(np.flatnonzero(d <= total), d.shape[1])
+    return a.start + x, b.start + y
+
+
 def near_pairs(hi: np.ndarray, lo: np.ndarray, sizes: np.ndarray, total: int = TOTAL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified pairs (i, j), i < j, among rows that lie bucket after bucket, ``sizes`` rows
-    each."""
+    each: all pairs of buckets of up to ``WHOLE`` rows, enough to connect what is near in
+    larger ones."""
     starts = np.cumsum(sizes) - sizes
     for start, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        order, far = np.arange(start, start + n), None
+        order, far = np.arange(start, start + n), np.zeros(n, dtype=np.int64)
         if n > WHOLE:
             tables = np.bitwise_count(hi[order] ^ _REFERENCES[0][:, None]) + np.bitwise_count(lo[order] ^ _REFERENCES[1][:, None])
             far = tables[tables.var(axis=1).argmax()].astype(np.int64)
             by = far.argsort(kind="stable")
             order, far = order[by], far[by]
-        h, w = hi[order], lo[order]
-        step = max(1, min(128, PAIRS // n))
-        for a in range(0, n, step):
-            b = min(n, a + step)
-            end = n if far is None else int(np.searchsorted(far, far[b - 1] + total, "right"))
-            d = np.bitwise_count(h[a:b, None] ^ h[None, a:end])
-            d += np.bitwise_count(w[a:b, None] ^ w[None, a:end])
-            x, y = np.divmod(np.flatnonzero(d <= total), end - a)
-            x, y = order[a + x[x < y]], order[a + y[x < y]]
-            if len(x):
-                yield np.minimum(x, y), np.maximum(x, y)
+        outer = n
+        while outer > 1:
+            # a dense ball: its members are connected to its centre; those outside it come
+            # first, and meet each other and what is in it
+            inner, before = np.array([], dtype=np.int64), outer
+            if outer > WHOLE:
+                c = order[outer // 2]
+                near = np.bitwise_count(hi[order[:outer]] ^ hi[c]) + np.bitwise_count(lo[order[:outer]] ^ lo[c]) <= total
+                if near.sum() * 8 >= outer:
+                    inner = order[:outer][near]
+                    yield np.minimum(inner, c)[inner != c], np.maximum(inner, c)[inner != c]
+                    by = np.concatenate([np.flatnonzero(~near), np.flatnonzero(near)])
+                    order[:outer], far[:outer] = order[:outer][by], far[:outer][by]
+                    outer -= len(inner)
+            h, w = hi[order[:before]], lo[order[:before]]
+            step = max(1, min(128, PAIRS // n))
+            for a in range(0, outer, step):
+                b = min(outer, a + step)
+                if len(inner):
+                    from_, to = outer + np.searchsorted(far[outer:before], [far[a] - total, far[b - 1] + total + 1])
+                else:
+                    from_, to = a, a + np.searchsorted(far[a:outer], far[b - 1] + total, "right")
+                x, y = _close(h, w, total, slice(a, b), slice(int(from_), int(to)))
+                x, y = order[x[x < y]], order[y[x < y]]
+                if len(x):
+                    yield np.minimum(x, y), np.maximum(x, y)
+            if not len(inner):
+                break
 
 
 def _stars(pairs: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +188,13 @@ def _stars(pairs: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> tupl
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (mask, part) -> star edges; a bucket may span batches."""
+    """Rows sorted by (mask, part, i, j) -> star edges; a bucket may span batches."""
+    cell = ["mask", "part", "i", "j"]
     held: list[pd.DataFrame] = []
 
     def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, part = pdf["mask"].to_numpy(), pdf["part"].to_numpy()
-        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
+        keys = [pdf[c].to_numpy() for c in cell]
+        cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
         bounds = np.concatenate([[0], cut, [len(pdf)]])
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         held_pairs = 0
@@ -172,7 +213,7 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if sum(map(len, held)) < 50_000:
             continue
         pdf = pd.concat(held, ignore_index=True)
-        last = (pdf["mask"] == pdf["mask"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
+        last = np.logical_and.reduce([pdf[c] == pdf[c].iloc[-1] for c in cell])
         held = [pdf[last]]
         if not last.all():
             yield flush(pdf[~last])
@@ -192,12 +233,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 def _members(prints: DataFrame) -> DataFrame:
     """(doc_id, mark, root) of every fingerprinted row."""
     distinct = saved(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "prints")
+    rows = distinct.count()
     signed = lambda m: F.lit(m if m < 1 << 63 else m - (1 << 64))
     # a stretch lies in one lane, or at the end of one and the start of the other: no bits clash
-    parts = [F.col("hi").bitwiseAND(signed(x)).bitwiseOR(F.col("lo").bitwiseAND(signed(y))) for x, y in masks(agreeing(distinct.count()))]
+    parts = [F.col("hi").bitwiseAND(signed(x)).bitwiseOR(F.col("lo").bitwiseAND(signed(y))) for x, y in masks(agreeing(rows))]
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), part.alias("part")) for k, part in enumerate(parts)])
     spread = distinct.select("hi", "lo", "node", F.explode(keys).alias("k")).select("k.mask", "k.part", "hi", "lo", "node")
-    found = spread.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInPandas(_edges, "a bigint, b bigint")
+    if rows > HOT:
+        # a bucket has at most all rows; map tasks add up, as buckets are few next to rows
+        sizes = spread.groupBy(F.col("mask").alias("h_mask"), F.col("part").alias("h_part")).count().where(F.col("count") > HOT)
+        hot = small_side(sizes.select("h_mask", "h_part", F.ceil(F.col("count") / HOT).alias("slices")), "hot")
+        slices = F.coalesce("slices", F.lit(1).cast("long"))
+        own = F.pmod(F.xxhash64("node"), slices)
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), slices - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+        spread = spread.join(hot, (F.col("mask") == F.col("h_mask")) & (F.col("part") == F.col("h_part")), "left")
+        spread = spread.select("mask", "part", F.explode(cells).alias("c"), "hi", "lo", "node").select("mask", "part", "c.i", "c.j", "hi", "lo", "node")
+    else:
+        spread = spread.select("mask", "part", F.lit(0).alias("i"), F.lit(0).alias("j"), "hi", "lo", "node")
+    found = spread.repartition("mask", "part", "i", "j").sortWithinPartitions("mask", "part", "i", "j").mapInPandas(_edges, "a bigint, b bigint")
     roots = components(found.distinct())
     named = distinct.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
     return prints.join(named, ["hi", "lo"]).select("doc_id", "mark", "root")
@@ -209,14 +262,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     members = saved(_members(prints), "members")
     best = members.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("best"), F.count("*").alias("n")).where("n > 1")
     marked = members.join(best, "root").groupBy("doc_id", "mark").agg(F.count("*").alias("times"), F.max(F.struct("doc_id", "mark") == F.col("best")).alias("stays"))
-    drop = marked.where("not stays or times > 1").select(F.col("doc_id").alias("__s_id"), F.col("mark").alias("__s_mark"), F.col("stays").alias("__s_stays"))
-    rows = docs.withColumns({"__s_key": docs[id_col].cast("bigint"), "__s_text": F.xxhash64(docs[text])})
-    hit = (F.col("__s_key") == F.col("__s_id")) & (F.col("__s_text") == F.col("__s_mark"))
-    drop = saved(drop, "dropped")
-    out = rows.join(drop.hint("shuffle_hash"), hit, "left_anti").select(*[rows[c] for c in docs.columns])
-    again = drop.where("__s_stays")
+    drop = marked.where("not stays or times > 1").select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), F.col("stays").alias("s_stays"))
+    rows, (i, t) = plain(docs, id_col, text)
+    keyed = rows.withColumns({"s_key": F.col(i).cast("bigint"), "s_text": F.xxhash64(t)})
+    hit = (F.col("s_key") == F.col("s_id")) & (F.col("s_text") == F.col("s_mark"))
+    drop = small_side(drop, "dropped", beyond="shuffle_hash")
+    out = keyed.join(drop, hit, "left_anti").select(*rows.columns)
+    again = drop.where("s_stays")
     if again.isEmpty():
-        return out
+        return out.toDF(*docs.columns)
     # rows repeated whole: one of each stays
-    once = rows.join(again, hit).groupBy("__s_id", "__s_mark").agg(*[F.first(rows[c]).alias(c) for c in docs.columns])
-    return out.unionByName(once.select(*docs.columns))
+    once = keyed.join(again, hit).groupBy("s_id", "s_mark").agg(*[F.first(c).alias(c) for c in rows.columns])
+    return out.unionByName(once.select(*rows.columns)).toDF(*docs.columns)

@@ -4,7 +4,8 @@
 2. SimHash near-dedup: one document of each group stays;
 3. personal identifiers are replaced by [TYPE] in the text;
 4. sources are mixed to target weights: rows are dropped or repeated;
-5. the rows are packed into sequences; the last stage returns where each piece goes.
+5. the rows are packed into sequences; the last stage returns each piece's text, and the
+   sequence, place and copy that it has.
 
 Null, empty, repeated and clashing input is treated as each operator's docstring says; an
 empty table passes through every stage.
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, packing, pii, quality, simhash
-from quarry.llm.common import scratch
+from quarry.llm.common import discard, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,19 +27,22 @@ STAGES: list[tuple[str, Stage]] = [
     ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one(docs)),
     ("pii", lambda spark, docs, sf_dir: pii.redact(docs)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.pack_texts(docs)),
 ]
 
-#: SimHash groups are components of a relation that SQL can't express within reason.
+#: SimHash groups are components of a relation that SQL can't express within reason; the
+#: pipeline is tested against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = scratch(spark, f"stage-{k}-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = saved(docs, f"stage-{k}-{name}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -10,7 +10,7 @@ from quarry.llm import mixing, packing, pii, quality, secrets, simhash, suffix,
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_topk_search": lambda s, d: topk.top_k(table(s, d, "embeddings")),
+    "op1_topk_search": lambda s, d: topk.search(table(s, d, "embeddings")),
     "op2_quality_rules": lambda s, d: quality.assess(table(s, d, "documents")),
     "op3_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
     "op4_secret_scan": lambda s, d: secrets.scan_documents(table(s, d, "documents")),

@@ -73,11 +73,11 @@ def _chosen(kept: DataFrame, where: DataFrame, blobs: DataFrame, limit: int) ->
     here = (F.col("blob") == F.col("k_blob")) & F.struct("path", "version").eqNullSafe(F.col("k_at"))
     due = blobs.where(F.size("due") > 0)
     chosen = saved(due.select(F.col("blob").alias("k_blob"), F.col("at").alias("k_at"), "due"), "chosen")
-    if is_small(chosen, limit):
+    first = due.groupBy("due").count().orderBy(F.desc("count"), "due").first()
+    if first is None or is_small(chosen, limit):
         return kept.join(F.broadcast(chosen), here).select("blob", "content", "due")
     # most rows are chosen, and most of them for the same rules: name the others
-    most = due.groupBy("due").count().orderBy(F.desc("count"), "due").first()["due"]
-    usual = F.array(*[F.lit(x) for x in most])
+    usual = F.array(*[F.lit(x) for x in first["due"]])
     at = F.struct("path", "version")
     rest = where.join(blobs, "blob").where((F.size("due") == 0) | ~at.eqNullSafe(F.col("at"))).select(F.col("blob").alias("k_blob"), at.alias("k_at")).distinct()
     rest, other = saved(rest, "rest"), saved(due.where(F.col("due") != usual).select(F.col("blob").alias("o_blob"), "due"), "other")

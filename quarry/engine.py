@@ -180,7 +180,7 @@ class Quarry:
             query = jsondsl.compile_body(index.mapping, query)
         if query.size < 0 or query.from_ < 0:
             raise InvalidQueryError("'from' and 'size' must be at least 0")
-        out = search(index, query, self.settings.max_sort_candidates, len(self.catalog.manifest(name)["commits"]))
+        out = search(index, query, self.settings.max_sort_candidates)
         self._tell("search", index=name, response=out)
         return out
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ class IndexFrame:
     mapping: Mapping
     name: str = "index"
     multi: bool = False
+    #: Stored postings of the live documents, and what is known of them: n, and the sum of
+    #: lengths of each field. Without them text leaves read the terms of all documents.
+    postings: DataFrame | None = None
+    live: dict[str, Any] | None = None
+    commits: int = 1
     columns: set[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -41,6 +47,17 @@ class IndexFrame:
         have = f is not None and f.index and (f"{name}__terms" if f.type == "text" else name) in self.columns
         return f if have else None
 
+    def length(self, name: str) -> Column:
+        """A field's length in a document, for scores; null where it has none."""
+        if self.mapping.fields[name].type == "text":
+            return c(f"{name}__dl")
+        return F.least(F.size(c(name)), F.lit(MAX_DL)) if self.multi else F.when(c(name).isNotNull(), 1)
+
+    def totals(self) -> list[Column]:
+        """Aggregates that :attr:`live` is made of."""
+        names = [n for n in self.mapping.fields if self.held(n)]
+        return [F.count(F.lit(1)).alias("n"), F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.sum(self.length(n)), F.lit(0)).cast("bigint"))]).alias("sums") if names else F.lit(None).alias("sums")]
+
     def raw(self, name: str) -> Column | None:
         """The first value of a field as its document gives it: what sorts, buckets and
         projections use. A ``.keyword`` companion reads its parent."""

@@ -1,6 +1,7 @@
-"""Postings: an inverted table (field, term, doc_ord, tf, positions, dl) for corpora where
-text leaves are selective. Sorted by (field, term) within range partitions, so that row
-groups are skipped by term, prefix and range."""
+"""Postings: an inverted table (field, term, doc_ord, tf, positions, dl), written with an
+index so that text leaves read the rows of their terms instead of all texts. It is sorted
+by (field, term) within range partitions: files, row groups and pages that can't hold a
+term, prefix or range are skipped."""
 
 from __future__ import annotations
 
@@ -11,22 +12,30 @@ from pyspark.sql import functions as F
 
 from quarry.operators.frame import IndexFrame, c
 
+SCHEMA = "field string, term string, doc_ord bigint, tf int, positions array<int>, dl int"
+ROW_GROUP_BYTES = 8 << 20
+
 
 def build(index: IndexFrame) -> DataFrame:
-    """Postings of every text field."""
+    """Postings of every text field. Tokens are shuffled once, to ranges of (field, term,
+    doc_ord), so that a frequent term spreads over several."""
     parts = []
     for name in index.mapping.text_fields():
         if index.held(name) is None:
             continue
         at = c(f"{name}__pos") if f"{name}__pos" in index.columns else F.transform(c(f"{name}__terms"), lambda x, i: i)
-        each = index.df.select("doc_ord", c(f"{name}__dl").alias("dl"), F.explode(F.arrays_zip(c(f"{name}__terms").alias("term"), at.alias("pos"))).alias("x"))
-        grouped = each.groupBy("doc_ord", "dl", F.col("x.term").alias("term")).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("x.pos")).alias("positions"))
-        parts.append(grouped.select(F.lit(name).alias("field"), "term", "doc_ord", "tf", "positions", "dl"))
-    return reduce(DataFrame.unionByName, parts)
+        each = index.df.select(F.lit(name).alias("field"), "doc_ord", c(f"{name}__dl").alias("dl"), F.explode(F.arrays_zip(c(f"{name}__terms").alias("term"), at.alias("pos"))).alias("x"))
+        parts.append(each.select("field", "x.term", "doc_ord", "dl", "x.pos"))
+    if not parts:
+        return index.df.sparkSession.createDataFrame([], SCHEMA)
+    tokens = reduce(DataFrame.unionByName, parts).repartitionByRange("field", "term", "doc_ord")
+    grouped = tokens.groupBy("field", "term", "doc_ord", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.select("field", "term", "doc_ord", "tf", "positions", "dl")
 
 
 def write(postings: DataFrame, path: str) -> None:
-    postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_ord").write.parquet(path)
+    """Sorts what :func:`build` has put into ranges, and writes it."""
+    postings.sortWithinPartitions("field", "term", "doc_ord").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def lookup(postings: DataFrame, field: str, term: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """A query over an index frame as one DataFrame of matches with BM25 scores.
 
-One aggregate over the frame gives the statistics that scored leaves need (live documents,
-average clamped lengths, document frequencies); they enter the plan as literals. Terms and
-phrases are then plain columns. Prefixes and ranges score the sum of BM25 over every term
-they match, whose frequencies come from a grouped table that is joined to the matches.
+Where an index has stored postings, each text leaf reads its terms' postings and is joined
+to the documents, and the statistics (live documents, average clamped lengths) are known.
+Otherwise one aggregate over the frame gives the statistics that scored leaves need, and
+terms and phrases are plain columns over all documents' terms. Either way the statistics
+enter the plan as literals. Prefixes and ranges score the sum of BM25 over every term they
+match, whose frequencies come from a grouped table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.errors import UnsupportedFeatureError
-from quarry.operators.frame import MAX_DL, IndexFrame, c
+from quarry.operators.frame import IndexFrame, c
 from quarry.plans.ast import Bool, Exists, MatchAll, Phrase, Prefix, Query, Range, Term
 
 K1, B = 1.2, 0.75
@@ -54,14 +56,7 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
         def place(term: str) -> Column:
             return F.transform(F.filter(placed, lambda x: x["term"] == F.lit(term)), lambda x: x["pos"])
 
-        places = [place(t) for t in node.terms]
-
-        def spread(start: Column, k: int, here: Column) -> Column:
-            if k == n:
-                return here - start - (n - 1) <= node.slop
-            return _let(F.array_min(F.filter(places[k], lambda q: q > here)), lambda q: spread(start, k + 1, q))
-
-        return F.size(F.filter(places[0], lambda p: F.coalesce(spread(p, 1, p), F.lit(False))))
+        return beside([place(t) for t in node.terms], node.slop)
 
     return F.coalesce(_let(F.arrays_zip(terms.alias("term"), at.alias("pos")), starts), F.lit(0))
 
@@ -79,10 +74,31 @@ def _within(node: Range) -> Callable[[Column], Column]:
     return test
 
 
+def beside(places: list[Column], slop: int) -> Column:
+    """Starts of a phrase whose terms stand at ``places``, a column of positions each."""
+    if slop == 0:
+        starts = places[0]
+        for k, at in enumerate(places[1:], 1):
+            starts = F.array_intersect(starts, F.transform(at, lambda x, k=k: x - k))
+        return F.size(starts)
+
+    def spread(start: Column, k: int, here: Column) -> Column:
+        if k == len(places):
+            return here - start - (len(places) - 1) <= slop
+        return _let(F.array_min(F.filter(places[k], lambda q: q > here)), lambda q: spread(start, k + 1, q))
+
+    return F.size(F.filter(places[0], lambda p: F.coalesce(spread(p, 1, p), F.lit(False))))
+
+
 class Scorer:
     def __init__(self, index: IndexFrame) -> None:
         self.index = index
         self.stats: dict = {}
+        #: Columns of the text leaves that postings answer.
+        self.bound: dict[Query, str] = {}
+        if index.live is not None:
+            n = index.live["n"]
+            self.stats = {"n": n} | {f: x / n if n else 0 for f, x in index.live["sums"].items()}
 
     # matching
 
@@ -110,14 +126,16 @@ class Scorer:
         if f is None or (isinstance(node, Phrase) and not node.terms):
             return F.lit(False)
         text, column = f.type == "text", c(node.field)
-        terms = c(f"{node.field}__terms")
         if isinstance(node, Exists):
-            return F.size(terms) > 0 if text else column.isNotNull()
+            return c(f"{node.field}__dl") > 0 if text else column.isNotNull()
+        if isinstance(node, Phrase) and f.index_options != "positions":
+            raise UnsupportedFeatureError(f"field {node.field!r} keeps no positions, so it has no phrases")
+        if self._key(node) in self.bound:
+            return F.col(self.bound[self._key(node)]).isNotNull()
+        terms = c(f"{node.field}__terms")
         if isinstance(node, Term):
             return F.array_contains(terms, node.value) if text else F.array_contains(column, F.lit(node.value)) if self.index.multi else column == F.lit(node.value)
         if isinstance(node, Phrase):
-            if f.index_options != "positions":
-                raise UnsupportedFeatureError(f"field {node.field!r} keeps no positions, so it has no phrases")
             return F.array_contains(terms, node.terms[0]) if len(node.terms) == 1 else phrase_tf(self.index, node) > 0
         test = self._test(node)
         if text:
@@ -126,6 +144,49 @@ class Scorer:
             return column.isNotNull() & test(column)
         return F.exists(column, test)
 
+    # postings
+
+    @staticmethod
+    def _key(node: Query) -> Query:
+        return replace(node, boost=1.0) if isinstance(node, Leaf) else node
+
+    def _text_leaves(self, node: Query) -> list[Leaf]:
+        if isinstance(node, Bool):
+            return [x for q in (*node.must, *node.filter, *node.should, *node.must_not) for x in self._text_leaves(q)]
+        f = self.index.held(node.field) if isinstance(node, Leaf) else None
+        return [self._key(node)] if f is not None and f.type == "text" and not (isinstance(node, Phrase) and not node.terms) else []
+
+    def _posted(self, leaf: Leaf, scored: bool) -> DataFrame:
+        """(doc_ord, x) of a text leaf: its frequency, or what an expanded leaf scores."""
+        held = self.index.postings.where(F.col("field") == leaf.field)
+        if isinstance(leaf, Term) or (isinstance(leaf, Phrase) and len(leaf.terms) == 1):
+            word = leaf.value if isinstance(leaf, Term) else leaf.terms[0]
+            return held.where(F.col("term") == word).select("doc_ord", F.col("tf").cast("double").alias("x"))
+        if isinstance(leaf, Phrase):
+            words = list(dict.fromkeys(leaf.terms))
+            places = {w: f"p{k}" for k, w in enumerate(words)}
+            rows = held.where(F.col("term").isin(words)).groupBy("doc_ord").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(n) for w, n in places.items()])
+            rows = rows.where(" and ".join(f"{n} is not null" for n in places.values()))
+            return rows.select("doc_ord", beside([F.col(places[w]) for w in leaf.terms], leaf.slop).cast("double").alias("x")).where("x > 0")
+        rows = held.where(self._test(leaf)(F.col("term")))
+        if not scored:
+            return rows.select("doc_ord").distinct().withColumn("x", F.lit(0.0))
+        df = rows.groupBy(F.col("term").alias("__term")).agg(F.count(F.lit(1)).alias("__df"))
+        score = bm25(self._weight(leaf), F.col("tf").cast("double"), F.col("dl"), self.stats[leaf.field])
+        return rows.join(df, F.col("term") == F.col("__term")).groupBy("doc_ord").agg(F.sum(score).alias("x"))
+
+    def _bind(self, node: Query, scored: bool) -> DataFrame:
+        """The frame with a column for each text leaf that postings answer."""
+        df, counted = self.index.df, set(self._leaves(node)) if scored else set()
+        self.bound = {}
+        if self.index.postings is None:
+            return df
+        for leaf in dict.fromkeys(self._text_leaves(node)):
+            self.match(leaf)  # refuses what the field can't answer
+            name = self.bound[leaf] = f"__t{len(self.bound)}"
+            df = df.join(self._posted(leaf, leaf in counted).withColumnRenamed("x", name), "doc_ord", "left")
+        return df
+
     # statistics
 
     def _leaves(self, node: Query) -> list[Leaf]:
@@ -135,31 +196,43 @@ class Scorer:
         scored = isinstance(node, Leaf) and self.index.held(node.field) is not None and not (isinstance(node, Phrase) and not node.terms)
         return [replace(node, boost=1.0)] if scored else []
 
-    def _lengths(self, field: str) -> Column:
-        if self.index.mapping.fields[field].type == "text":
-            return c(f"{field}__dl")
-        return F.least(F.size(c(field)), F.lit(MAX_DL)) if self.index.multi else F.when(c(field).isNotNull(), 1)
-
     def gather(self, node: Query) -> None:
-        """One job for all the statistics that ``node``'s scores need."""
+        """The statistics that ``node``'s scores need: one job over the frame for those that
+        aren't known, one over the postings of the terms, one for each stored phrase."""
         leaves = list(dict.fromkeys(self._leaves(node)))
         wanted = {"n": F.count(F.lit(1))} if leaves else {}
         for f in dict.fromkeys(x.field for x in leaves):
-            wanted[f] = F.avg(F.coalesce(self._lengths(f), F.lit(0)))
-        simple = [x for x in leaves if isinstance(x, Term | Phrase)]
+            wanted[f] = F.avg(F.coalesce(self.index.length(f), F.lit(0)))
+        simple = [x for x in leaves if isinstance(x, Term | Phrase) and x not in self.stats]
+        stored = [x for x in simple if self.index.postings is not None and self.index.mapping.fields[x.field].type == "text"]
         for x in simple:
-            wanted[x] = F.count_if(self.match(x))
+            if x not in stored:
+                wanted[x] = F.count_if(self.match(x))
         wanted = {k: v for k, v in wanted.items() if k not in self.stats}
         if wanted:
             row = self.index.df.agg(*[v.alias(f"s{i}") for i, v in enumerate(wanted.values())]).first()
             self.stats |= {k: x or 0 for k, x in zip(wanted, row)}
+        terms = {(x.field, x.value if isinstance(x, Term) else x.terms[0]): x for x in stored if isinstance(x, Term) or len(x.terms) == 1}
+        if terms:
+            test = F.lit(False)
+            for f, w in terms:
+                test = test | ((F.col("field") == f) & (F.col("term") == w))
+            found = {(r["field"], r["term"]): r["count"] for r in self.index.postings.where(test).groupBy("field", "term").count().collect()}
+            for x in stored:
+                if isinstance(x, Term) or len(x.terms) == 1:
+                    self.stats[x] = found.get((x.field, x.value if isinstance(x, Term) else x.terms[0]), 0)
+        for x in stored:
+            if x not in self.stats:
+                self.stats[x] = self._posted(x, False).count()
 
     # scores
 
     def _simple(self, node: Term | Phrase) -> Column:
         weight = node.boost * idf(self.stats["n"], self.stats[replace(node, boost=1.0)])
         text = self.index.mapping.fields[node.field].type == "text"
-        if isinstance(node, Phrase) and len(node.terms) > 1:
+        if self._key(node) in self.bound:
+            tf = F.col(self.bound[self._key(node)])
+        elif isinstance(node, Phrase) and len(node.terms) > 1:
             tf = phrase_tf(self.index, node)
         elif text or self.index.multi:
             value = node.value if isinstance(node, Term) else node.terms[0]
@@ -167,7 +240,7 @@ class Scorer:
             tf = F.size(F.filter(held, lambda x: x == F.lit(value)))
         else:
             tf = F.lit(1)
-        return bm25(weight, tf.cast("double"), self._lengths(node.field), self.stats[node.field])
+        return bm25(weight, tf.cast("double"), self.index.length(node.field), self.stats[node.field])
 
     def _weight(self, node: Leaf) -> Column:
         n = F.lit(self.stats["n"])
@@ -182,7 +255,7 @@ class Scorer:
             scored = counts.select("__value", bm25(self._weight(node), F.lit(1.0), F.lit(1), avgdl).alias(name))
             return matched.join(scored, c(node.field) == F.col("__value"), "left").drop("__value")
         held = c(f"{node.field}__terms") if text else c(node.field)
-        each = self.index.df.select("doc_ord", self._lengths(node.field).alias("__dl"), F.explode(F.filter(held, test)).alias("__term"))
+        each = self.index.df.select("doc_ord", self.index.length(node.field).alias("__dl"), F.explode(F.filter(held, test)).alias("__term"))
         tfs = each.groupBy("doc_ord", "__dl", "__term").agg(F.count(F.lit(1)).cast("double").alias("__tf"))
         dfs = tfs.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
         scored = tfs.join(dfs, "__term").groupBy("doc_ord").agg(F.sum(bm25(self._weight(node), F.col("__tf"), F.col("__dl"), avgdl)).alias(name))
@@ -199,20 +272,26 @@ class Scorer:
             return sum(parts[1:], parts[0]) if parts else F.lit(0.0)
         if self.index.held(node.field) is None or (isinstance(node, Phrase) and not node.terms):
             return F.lit(0.0)
-        return F.coalesce(F.col(expanded[node]), F.lit(0.0)) if node in expanded else self._simple(node)
+        if node in expanded:
+            return F.coalesce(F.col(expanded[node]), F.lit(0.0))
+        if isinstance(node, Prefix | Range) and self._key(node) in self.bound:
+            return F.coalesce(F.lit(node.boost) * F.col(self.bound[self._key(node)]), F.lit(0.0))
+        return self._simple(node)
 
     def matches(self, node: Query, scored: bool = True) -> DataFrame:
         """The frame's matching rows with ``score`` (null unless ``scored``)."""
-        found = self.index.df.where(self.match(node))
+        if scored:
+            self.gather(node)
+        found = self._bind(node, scored)
+        found = found.where(self.match(node))
         if not scored:
-            return found.withColumn("score", F.lit(None).cast("double"))
-        self.gather(node)
+            return found.withColumn("score", F.lit(None).cast("double")).drop(*self.bound.values())
         expanded: dict[Query, str] = {}
         for leaf in _scored_leaves(node):
-            if isinstance(leaf, Prefix | Range) and self.index.held(leaf.field) is not None and leaf not in expanded:
+            if isinstance(leaf, Prefix | Range) and self.index.held(leaf.field) is not None and leaf not in expanded and self._key(leaf) not in self.bound:
                 expanded[leaf] = f"__x{len(expanded)}"
                 found = self._expanded(leaf, found, expanded[leaf])
-        return found.withColumn("score", self._score(node, expanded).cast("double")).drop(*expanded.values())
+        return found.withColumn("score", self._score(node, expanded).cast("double")).drop(*expanded.values(), *self.bound.values())
 
 
 def _scored_leaves(node: Query) -> list[Query]:

@@ -97,7 +97,7 @@ def _sources(index: IndexFrame, rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "score", F.to_json(F.struct(*[v.alias(n) for n, v in values.items() if v is not None])).alias("__source"))
 
 
-def search(index: IndexFrame, request: Search, cap: int | None = None, commits: int = 1) -> dict[str, Any]:
+def search(index: IndexFrame, request: Search, cap: int | None = None) -> dict[str, Any]:
     """The response envelope."""
     began = time.perf_counter()
     scorer = Scorer(index)
@@ -110,7 +110,7 @@ def search(index: IndexFrame, request: Search, cap: int | None = None, commits:
         got = project_source(json.loads(row["__source"]), request.source)
         hits.append(hit | ({"_source": got} if got is not None else {}))
     took = (time.perf_counter() - began) * 1000
-    block: dict[str, Any] = {"query": to_dict(request.query), "segments_touched": commits, "took_ms": round(took, 3)}
+    block: dict[str, Any] = {"query": to_dict(request.query), "segments_touched": index.commits, "took_ms": round(took, 3)}
     if not by_relevance(request.sort):
         block["sort_truncated"] = cap is not None and total > cap
         if block["sort_truncated"]:

@@ -11,15 +11,16 @@ from importlib.metadata import entry_points
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from quarry.errors import InvalidQueryError, PluginError
+from quarry.errors import IngestError, InvalidQueryError, PluginError
 from quarry.functions.analysis import ANALYZERS, Analyzer, analyzer
 from quarry.operators.search import search
 from quarry.plans import jsondsl, pql
 from quarry.plans.ast import Search, TermsAgg
 from quarry.settings import Settings
 from quarry.sources.catalog import Catalog
-from quarry.sources.lines import assemble, doc_id, read_lines
+from quarry.sources.lines import doc_id, read_lines
 from quarry.streaming import processors, tail
 
 log = logging.getLogger(__name__)
@@ -193,17 +194,61 @@ class Quarry:
         """Files in one go; the number of live documents after it is returned."""
         if not self.exists(name):
             self.create_index(name)
-        records = read_lines(self.spark, path, self.settings.max_line_bytes)
-        records = assemble(records, multiline) if multiline else records
-        from pyspark.sql import functions as F
-
-        key = doc_id(id_mode, F.col("message"), F.col("file"), F.col("offset"))
+        records = read_lines(self.spark, path, self.settings.max_line_bytes, multiline)
+        key = doc_id(id_mode, F.col("message"), F.col("origin"), F.col("offset"))
         self.catalog.put_frame(name, processors.process(records, processors.resolve(chain or [], regex), key))
         return self.stats(name)["live_count"]
 
-    def follow(self, path: str, name: str, checkpoint: str, chain: list[str] | None = None, regex: str | None = None, start: str = "checkpoint", once: bool = False, id_mode: str = "offset"):
-        """Growing files as a stream; ``once`` ends it when the input does."""
-        records = tail.tail(self.spark, path, start)
-        query = tail.ingest(records, self.catalog, name, processors.resolve(chain or [], regex), checkpoint, id_mode, None if once else self.settings.trigger_seconds)
-        self.streams[str(query.id)] = query
+    def follow(self, path: str, name: str, checkpoint: str, chain: list[str] | None = None, regex: str | None = None, start: str = "checkpoint", once: bool = False, id_mode: str = "offset", multiline: str | None = None):
+        """Growing files as a stream; ``once`` ends it when the input does, in one batch. The
+        stream is a job, listed by :meth:`jobs` under its checkpoint."""
+        s = self.settings
+        records = tail.tail(self.spark, path, start, max_line_bytes=s.max_line_bytes, max_bytes=None if once else s.max_bytes_per_trigger, multiline=multiline, once=once, checkpoint=checkpoint)
+        query = tail.ingest(records, self.catalog, name, processors.resolve(chain or [], regex), checkpoint, id_mode, None if once else s.trigger_seconds)
+        self.streams[checkpoint] = query
         return query
+
+    # jobs and checkpoints
+
+    def jobs(self) -> dict[str, dict[str, Any]]:
+        """State and progress of the streams that this engine started, by checkpoint."""
+        return {k: self.job(k) for k in self.streams}
+
+    def job(self, checkpoint: str) -> dict[str, Any]:
+        query = self.streams.get(checkpoint)
+        if query is None:
+            raise IngestError(f"there is no job {checkpoint!r}")
+        failed = query.exception()
+        return {"state": "running" if query.isActive else "failed" if failed else "done", **({"error": str(failed)[:500]} if failed else {}), **tail.progress(query)}
+
+    def stop(self, checkpoint: str) -> dict[str, Any]:
+        """Ends a job after the batch it is at; its checkpoint stays."""
+        self.job(checkpoint)
+        self.streams[checkpoint].stop()
+        return self.job(checkpoint)
+
+    def checkpoints(self, root: str) -> dict[str, dict[str, Any]]:
+        """The places that the streams with checkpoints directly below ``root`` have reached:
+        file, byte and signature of each."""
+        return {n: p for n in self.catalog.files.names(root) if (p := self.checkpoint(f"{root}/{n}"))}
+
+    def checkpoint(self, path: str) -> dict[str, Any] | None:
+        """What one checkpoint holds; None where there is none."""
+        files = self.catalog.files
+        done = [int(n) for n in files.names(f"{path}/commits") if n.isdigit()]
+        if not done:
+            return None
+        lines = files.read(f"{path}/offsets/{max(done)}").splitlines()
+        return {"batch": max(done), "files": {v["path"]: {"offset": v["at"], "signature": v["sig"]} for v in json.loads(json.loads(lines[-1])["files"]).values()}}
+
+    def reset(self, checkpoint: str, name: str | None = None) -> bool:
+        """Forgets a checkpoint, so that the next stream begins anew; whether there was one.
+        Ids by offset make documents that are read again replace themselves. ``name``: the
+        index, which forgets the stream's batches too."""
+        if checkpoint in self.streams and self.streams[checkpoint].isActive:
+            raise IngestError(f"the job {checkpoint!r} is running")
+        there = bool(self.catalog.files.names(checkpoint))
+        self.catalog.files.drop(checkpoint)
+        for index in [name] if name else self.list_indices():
+            self.catalog.forget(index, checkpoint)
+        return there

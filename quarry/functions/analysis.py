@@ -7,11 +7,10 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.errors import ConfigurationError
 
@@ -35,7 +34,7 @@ class Filter:
     change_python: Callable[[str], str] | None = None
     keep: Callable[[Column], Column] | None = None
     keep_python: Callable[[str], bool] | None = None
-    whole: Callable[[Column], Column] | None = None  # maps the array at once
+    empties: bool = False  # whether a changed term may be empty; such terms are dropped
 
 
 def _split(java: str, python: str) -> Tokenizer:
@@ -52,7 +51,7 @@ def pattern(regex: str) -> Tokenizer:
 
 TOKENIZERS: dict[str, Tokenizer] = {
     "standard": Tokenizer(
-        lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.substring(x, 1, TOKEN_CHARS)),
+        lambda c: F.regexp_extract_all(c, F.lit(rf"([\p{{L}}\p{{N}}]{{1,{TOKEN_CHARS}}})[\p{{L}}\p{{N}}]*"), F.lit(1)),
         lambda t: [x[:TOKEN_CHARS] for x in re.findall(r"[^\W_]+", t)],
     ),
     "whitespace": Tokenizer(_split(rf"{SPACE}+", r"\s+").columns, lambda t: [x[:TOKEN_CHARS] for x in t.split()]),
@@ -66,14 +65,33 @@ def fold(term: str) -> str:
     return unicodedata.normalize("NFKD", term).encode("ascii", "ignore").decode() or term
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fold_all(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda xs: None if xs is None else [fold(x) for x in xs])
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one, and what to; those that fold to several."""
+    single, several = {}, {}
+    for k in range(128, 0x110000):
+        if not 0xD800 <= k < 0xE000 and len(x := unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()):
+            (single if len(x) == 1 else several)[chr(k)] = x
+    return "".join(single), "".join(single.values()), several
+
+
+@cache
+def _fold_parts() -> tuple[str, str, Column, str]:
+    one, to, several = _foldings()
+    return one, to, F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01")), "[" + "".join(f"\\x{{{ord(k):x}}}" for k in several) + "]"
+
+
+def fold_column(term: Column) -> Column:
+    """:func:`fold` by built-ins: characters that fold to one are translated, the few that
+    fold to several are looked up, and what isn't ASCII then goes."""
+    one, to, several, any_of = _fold_parts()
+    spelled = F.array_join(F.transform(F.split(term, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    ascii_ = F.regexp_replace(F.translate(F.when(term.rlike(any_of), spelled).otherwise(term), one, to), r"[^\x00-\x7f]", "")
+    return F.when(ascii_ != "", ascii_).otherwise(term)
 
 
 def stop(words: frozenset[str] = STOP_EN) -> Filter:
-    listed = sorted(w.lower() for w in words)
-    return Filter(keep=lambda x: ~F.lower(x).isin(listed), keep_python=lambda x: x.lower() not in words)
+    listed = sorted({w.lower() for w in words})
+    return Filter(keep=lambda x: ~F.lower(x).isin(listed), keep_python=lambda x: x.lower() not in listed)
 
 
 def length(least: int = 0, most: int | None = None) -> Filter:
@@ -88,7 +106,7 @@ def truncate(n: int) -> Filter:
 
 
 LOWERCASE = Filter(change=F.lower, change_python=str.lower)
-ASCII_FOLDING = Filter(whole=lambda c: _fold_all(c), change_python=fold)
+ASCII_FOLDING = Filter(change=lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), fold_column(x)).otherwise(x), change_python=fold)
 FILTERS: dict[str, Callable[..., Filter]] = {"lowercase": lambda: LOWERCASE, "asciifolding": lambda: ASCII_FOLDING, "stop": stop, "length": length, "truncate": truncate}
 
 
@@ -103,21 +121,30 @@ class Analyzer:
 
     @property
     def gaps(self) -> bool:
-        return any(f.keep for f in self.filters)
+        return any(f.keep or f.empties for f in self.filters)
 
     def columns(self, text: Column) -> tuple[Column, Column | None]:
         """(terms, positions); positions are None where they equal the array index."""
-        terms, at = self.tokenizer.columns(text), None
-        for f in self.filters:
-            if f.whole is not None:
-                terms = f.whole(terms)
-            elif f.change is not None:
+        filters, at = self.filters, None
+        if self.tokenizer is TOKENIZERS["standard"] and filters[:1] == (LOWERCASE,):
+            # a whole text in lower case has the same terms, but for letters that become two
+            # or whose neighbours decide
+            each = F.transform(self.tokenizer.columns(text), F.lower)
+            terms, filters = F.when(text.rlike("[\u0130\u03a3]"), each).otherwise(self.tokenizer.columns(F.lower(text))), filters[1:]
+        else:
+            terms = self.tokenizer.columns(text)
+        for f in filters:
+            if f.change is not None:
                 terms = F.transform(terms, f.change)
             else:
                 if at is None:
                     at = F.transform(terms, lambda x, i: i)
                 both = F.filter(F.arrays_zip(terms.alias("term"), at.alias("pos")), _on_term(f.keep))
                 terms, at = F.transform(both, lambda x: x["term"]), F.transform(both, lambda x: x["pos"])
+        if any(f.empties for f in self.filters):
+            at = F.transform(terms, lambda x, i: i) if at is None else at
+            both = F.filter(F.arrays_zip(terms.alias("term"), at.alias("pos")), lambda x: x["term"] != "")
+            terms, at = F.transform(both, lambda x: x["term"]), F.transform(both, lambda x: x["pos"])
         return terms, at
 
     def analyze(self, text: str) -> list[tuple[str, int]]:

@@ -38,6 +38,18 @@ def write(postings: DataFrame, path: str) -> None:
     postings.sortWithinPartitions("field", "term", "doc_ord").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
+def persist(index: IndexFrame, path: str) -> IndexFrame:
+    """``index`` written below ``path`` with its postings and totals, and read from there: its
+    texts are analyzed once, however many queries follow."""
+    spark = index.df.sparkSession
+    index.df.write.parquet(f"{path}/docs")
+    kept = IndexFrame(spark.read.parquet(f"{path}/docs"), index.mapping, index.name, index.multi)
+    write(build(kept), f"{path}/postings")
+    totals = kept.df.agg(*kept.totals()).first()
+    kept.postings, kept.live = spark.read.schema(SCHEMA).parquet(f"{path}/postings"), {"n": totals["n"], "sums": totals["sums"] or {}}
+    return kept
+
+
 def lookup(postings: DataFrame, field: str, term: str) -> DataFrame:
     return postings.where((F.col("field") == field) & (F.col("term") == term))
 
@@ -61,17 +73,3 @@ def every(streams: list[DataFrame]) -> DataFrame:
     """Documents in all of ``streams`` (doc_ord, score), scores summed."""
     tagged = reduce(DataFrame.unionByName, [s.select("doc_ord", "score", F.lit(i).alias("stream")) for i, s in enumerate(streams)])
     return tagged.groupBy("doc_ord").agg(F.sum("score").alias("score"), F.count_distinct("stream").alias("n")).where(F.col("n") == len(streams)).drop("n")
-
-
-def any_of(streams: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [s.select("doc_ord", "score") for s in streams]).groupBy("doc_ord").agg(F.sum("score").alias("score"))
-
-
-def without(stream: DataFrame, dropped: DataFrame) -> DataFrame:
-    return stream.join(dropped.select("doc_ord"), "doc_ord", "left_anti")
-
-
-def raised(stream: DataFrame, optional: DataFrame) -> DataFrame:
-    """``stream`` with the scores of ``optional`` added where it has the document."""
-    more = optional.select("doc_ord", F.col("score").alias("more"))
-    return stream.join(more, "doc_ord", "left").select("doc_ord", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

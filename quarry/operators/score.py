@@ -22,6 +22,8 @@ from quarry.operators.frame import IndexFrame, c
 from quarry.plans.ast import Bool, Exists, MatchAll, Phrase, Prefix, Query, Range, Term
 
 K1, B = 1.2, 0.75
+#: The number of live documents among the statistics; no field is called this.
+LIVE = ("live",)
 Leaf = Term | Phrase | Prefix | Range
 
 
@@ -74,12 +76,16 @@ def _within(node: Range) -> Callable[[Column], Column]:
     return test
 
 
+def _less(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
 def beside(places: list[Column], slop: int) -> Column:
     """Starts of a phrase whose terms stand at ``places``, a column of positions each."""
     if slop == 0:
         starts = places[0]
         for k, at in enumerate(places[1:], 1):
-            starts = F.array_intersect(starts, F.transform(at, lambda x, k=k: x - k))
+            starts = F.array_intersect(starts, F.transform(at, _less(k)))
         return F.size(starts)
 
     def spread(start: Column, k: int, here: Column) -> Column:
@@ -98,7 +104,7 @@ class Scorer:
         self.bound: dict[Query, str] = {}
         if index.live is not None:
             n = index.live["n"]
-            self.stats = {"n": n} | {f: x / n if n else 0 for f, x in index.live["sums"].items()}
+            self.stats = {LIVE: n} | {f: x / n if n else 0 for f, x in index.live["sums"].items()}
 
     # matching
 
@@ -200,7 +206,7 @@ class Scorer:
         """The statistics that ``node``'s scores need: one job over the frame for those that
         aren't known, one over the postings of the terms, one for each stored phrase."""
         leaves = list(dict.fromkeys(self._leaves(node)))
-        wanted = {"n": F.count(F.lit(1))} if leaves else {}
+        wanted = {LIVE: F.count(F.lit(1))} if leaves else {}
         for f in dict.fromkeys(x.field for x in leaves):
             wanted[f] = F.avg(F.coalesce(self.index.length(f), F.lit(0)))
         simple = [x for x in leaves if isinstance(x, Term | Phrase) and x not in self.stats]
@@ -228,7 +234,7 @@ class Scorer:
     # scores
 
     def _simple(self, node: Term | Phrase) -> Column:
-        weight = node.boost * idf(self.stats["n"], self.stats[replace(node, boost=1.0)])
+        weight = node.boost * idf(self.stats[LIVE], self.stats[replace(node, boost=1.0)])
         text = self.index.mapping.fields[node.field].type == "text"
         if self._key(node) in self.bound:
             tf = F.col(self.bound[self._key(node)])
@@ -243,7 +249,7 @@ class Scorer:
         return bm25(weight, tf.cast("double"), self.index.length(node.field), self.stats[node.field])
 
     def _weight(self, node: Leaf) -> Column:
-        n = F.lit(self.stats["n"])
+        n = F.lit(self.stats[LIVE])
         return F.lit(node.boost) * F.log(1 + (n - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
 
     def _expanded(self, node: Prefix | Range, matched: DataFrame, name: str) -> DataFrame:

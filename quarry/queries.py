@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -14,12 +13,13 @@ from quarry.functions import analysis
 from quarry.mapping import Mapping, parse_mapping
 from quarry.operators import postings
 from quarry.operators.frame import IndexFrame, from_table
-from quarry.operators.score import Scorer, bm25, idf, matches
+from quarry.operators.score import LIVE, Scorer, bm25, idf, matches
 from quarry.operators.search import bucket_counts, page, project, terms_buckets
 from quarry.plans import jsondsl, pql
-from quarry.plans.ast import Phrase, TermsAgg
+from quarry.plans.ast import Bool, Phrase, Query as Node, TermsAgg
+from quarry.shared import scratch
 from quarry.sources.catalog import Catalog
-from quarry.sources.lines import assemble, doc_id, read_lines
+from quarry.sources.lines import doc_id, read_lines
 from quarry.streaming import processors
 from quarry.streaming.tail import ingest, tail
 
@@ -52,12 +52,27 @@ def index(spark: SparkSession, sf_dir: str, name: str, analyzer: str | None = No
     return from_table(df, mapping, key, name, values=values)
 
 
-def shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return tempfile.mkdtemp(prefix="quarry-", dir=where.removeprefix("file://"))
+_KEPT: dict[tuple[str, str, str], IndexFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> IndexFrame:
+    """:func:`index` with stored postings, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = postings.persist(index(spark, sf_dir, name), scratch(spark, f"index-{name}"))
+    return _KEPT[key]
+
+
+def _reads_text(node: Node, mapping: Mapping) -> bool:
+    if isinstance(node, Bool):
+        return any(_reads_text(q, mapping) for q in (*node.must, *node.filter, *node.should, *node.must_not))
+    f = mapping.fields.get(getattr(node, "field", ""))
+    return f is not None and f.type == "text"
+
+
+def found(spark: SparkSession, sf_dir: str, of: str, node: Node, scored: bool = True) -> tuple[IndexFrame, DataFrame]:
+    ix = (stored if _reads_text(node, MAPPINGS[of][0]) else index)(spark, sf_dir, of)
+    return ix, matches(ix, node, scored)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,12 +122,12 @@ def _scores(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def _pql(name: str, of: str, text: str, sql: str | None) -> None:
     key = {"documents": "doc_id", "events": "event_id", "pages": "page_id", "orders": "o_orderkey"}[of]
-    register(name, sql)(lambda s, d: _scores(matches(ix := index(s, d, of), pql.parse(text, ix.mapping, NOW).query), key))
+    register(name, sql)(lambda s, d: _scores(found(s, d, of, pql.parse(text, MAPPINGS[of][0], NOW).query)[1], key))
 
 
 def _json(name: str, of: str, body: dict[str, Any], sql: str | None) -> None:
     key = {"documents": "doc_id", "events": "event_id"}[of]
-    register(name, sql)(lambda s, d: _scores(matches(ix := index(s, d, of), jsondsl.compile_body(ix.mapping, {"query": body}).query), key))
+    register(name, sql)(lambda s, d: _scores(found(s, d, of, jsondsl.compile_body(MAPPINGS[of][0], {"query": body}).query)[1], key))
 
 
 def _exact(of: str, key: str, column: str, where: str) -> str:
@@ -166,15 +181,19 @@ _pql("exists", "events", "_exists_:props.k", "SELECT event_id, 1.0::DOUBLE AS sc
 _pql("range_totalprice", "orders", "o_orderstatus:F AND o_totalprice:>=100000", f"WITH {value_scores('x', 'orders', 'o_orderkey', 'o_orderstatus', chr(111) + '_orderstatus = ' + chr(39) + 'F' + chr(39))}, {value_scores('y', 'orders', 'o_orderkey', 'o_totalprice', 'o_totalprice >= 100000')} SELECT id AS o_orderkey, round(x.s + y.s, 6) AS score FROM x JOIN y USING (id)")
 
 
-@register("phrase_slop")
+@register(
+    "phrase_slop",
+    f"WITH {DOCS}, t AS (SELECT doc_id, dl, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of' AND list_contains(w[i + 1 : i + 3], 'the'))) AS tf FROM l), p AS (SELECT * FROM t WHERE tf > 0) "
+    f"SELECT doc_id, round({weighed('(SELECT count(*) FROM p)', 'tf', 'dl')}, 6) AS score FROM p, st",
+)
 def phrase_slop(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(matches(index(spark, d, "documents"), Phrase("text", ("of", "the"), slop=2)))
+    return _scores(found(spark, d, "documents", Phrase("text", ("of", "the"), slop=2))[1])
 
 
 @register("topk_relevance", f"WITH {DOCS}, {word_scores('x', 'the')} SELECT doc_id, round(s, 6) AS score FROM x ORDER BY s DESC, doc_id LIMIT 10 OFFSET 5")
 def topk_relevance(spark: SparkSession, d: str) -> DataFrame:
-    ix = index(spark, d, "documents")
-    return _scores(page(ix, matches(ix, pql.parse("text:the", ix.mapping).query), from_=5, size=10))
+    ix, rows = found(spark, d, "documents", pql.parse("text:the", MAPPINGS["documents"][0]).query)
+    return _scores(page(ix, rows, from_=5, size=10))
 
 
 def _sorted(name: str, of: str, text: str, size: int, sql: str) -> None:
@@ -241,35 +260,34 @@ _analysis("analyze_keyword", "documents", "doc_id", "lang", analysis.ANALYZERS["
 _analysis("analyze_stop_en", "documents", "doc_id", "text", analysis.ANALYZERS["stop_en"], _numbered(_STD, f"p.t NOT IN ({_STOPS})"))
 _analysis("filter_length", "documents", "doc_id", "text", analysis.Analyzer(analysis.TOKENIZERS["standard"], (analysis.LOWERCASE, analysis.length(3, 8))), _numbered(_STD, "length(p.t) BETWEEN 3 AND 8"))
 _analysis("filter_truncate", "documents", "doc_id", "text", analysis.Analyzer(analysis.TOKENIZERS["standard"], (analysis.LOWERCASE, analysis.truncate(4))), _numbered(f"list_transform({_STD}, lambda x: x[1:4])"))
-_analysis("filter_asciifolding", "documents", "doc_id", "text", analysis.Analyzer(analysis.TOKENIZERS["standard"], (analysis.LOWERCASE, analysis.ASCII_FOLDING)), None)
+_analysis("filter_asciifolding", "documents", "doc_id", "text", analysis.Analyzer(analysis.TOKENIZERS["standard"], (analysis.LOWERCASE, analysis.ASCII_FOLDING)), _numbered(f"list_transform({_STD}, lambda x: coalesce(nullif(regexp_replace(strip_accents(x), '[^\\x00-\\x7F]', '', 'g'), ''), x))"))
 _analysis("tokenizer_pattern", "documents", "doc_id", "text", analysis.Analyzer(analysis.pattern("[,;.]+")), _numbered(_SPLIT.format(c="text", re="[,;.]+", f="x[1:255]")))
 
 
 @register("term_stats", f"WITH {DOCS} SELECT t AS term, count(DISTINCT doc_id) AS df, count(*) AS total_tf FROM (SELECT doc_id, unnest(w) AS t FROM l) GROUP BY t")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return postings.term_stats(postings.build(index(spark, d, "documents"))).select("term", "df", "total_tf")
+    return postings.term_stats(stored(spark, d, "documents").postings).select("term", "df", "total_tf")
 
 
 @register("term_scan", f"WITH {DOCS} SELECT DISTINCT t AS term FROM (SELECT unnest(w) AS t FROM l) WHERE t >= 'ma' AND t < 'n'")
 def term_scan(spark: SparkSession, d: str) -> DataFrame:
-    return postings.scan(postings.build(index(spark, d, "documents")), "text", low="ma", high="n")
+    return postings.scan(stored(spark, d, "documents").postings, "text", low="ma", high="n")
 
 
 @register("postings_and", f"WITH {DOCS}, {word_scores('x', 'the')}, {word_scores('y', 'of')} SELECT doc_id, round(x.s + y.s, 6) AS score FROM x JOIN y USING (doc_id)")
 def postings_and(spark: SparkSession, d: str) -> DataFrame:
     """Conjunction by merging postings instead of scanning documents."""
-    ix = index(spark, d, "documents")
-    table_ = postings.build(ix)
+    ix = stored(spark, d, "documents")
     scorer = Scorer(ix)
     scorer.gather(jsondsl.compile_body(ix.mapping, {"query": {"match": {"text": "the of"}}}).query)
     df = {k.value: v for k, v in scorer.stats.items() if hasattr(k, "value")}
-    streams = [postings.lookup(table_, "text", w).select("doc_ord", bm25(idf(scorer.stats["n"], df[w]), F.col("tf").cast("double"), F.col("dl"), scorer.stats["text"]).alias("score")) for w in ("the", "of")]
+    streams = [postings.lookup(ix.postings, "text", w).select("doc_ord", bm25(idf(scorer.stats[LIVE], df[w]), F.col("tf").cast("double"), F.col("dl"), scorer.stats["text"]).alias("score")) for w in ("the", "of")]
     return _scores(postings.every(streams))
 
 
 @register("index_stats", f"WITH {DOCS} SELECT n::BIGINT AS live_count, round(a, 6) AS avg_length FROM st")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d, "documents").df.agg(F.count(F.lit(1)).alias("live_count"), F.round(F.avg(F.coalesce("text__dl", F.lit(0))), 6).alias("avg_length"))
+    return stored(spark, d, "documents").df.agg(F.count(F.lit(1)).alias("live_count"), F.round(F.avg(F.coalesce("text__dl", F.lit(0))), 6).alias("avg_length"))
 
 
 # catalog and ingest
@@ -282,7 +300,7 @@ def _event_docs(df: DataFrame) -> DataFrame:
 
 def _loaded(spark: SparkSession, d: str) -> Catalog:
     """Events, those of even ids again with value raised, those of multiples of 5 deleted."""
-    catalog = Catalog(spark, shared(spark))
+    catalog = Catalog(spark, scratch(spark, "catalog"))
     catalog.create("events", {"properties": {"event_type": {"type": "keyword"}, "user_id": {"type": "long"}, "value": {"type": "double"}, "n": {"type": "long"}}})
     events = table(spark, d, "events")
     catalog.put_frame("events", _event_docs(events))
@@ -348,7 +366,7 @@ def ingest_timestamp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, d: str, many: bool) -> str:
-    path = shared(spark) + "/log"
+    path = scratch(spark, "log")
     df = table(spark, d, "events")
     line = F.concat(F.expr(_LINE), F.lit("\n  at ") if many else F.lit(" "), F.col("value").cast("string"))
     df.select("event_id", line.alias("value")).repartitionByRange(2, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
@@ -364,7 +382,7 @@ def ingest_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ingest_multiline", "SELECT event_id, 2 AS line_count FROM events")
 def ingest_multiline(spark: SparkSession, d: str) -> DataFrame:
-    records = assemble(read_lines(spark, _log(spark, d, many=True)), r"\d+ level=")
+    records = read_lines(spark, _log(spark, d, many=True), opens=r"\d+ level=")
     return records.select(F.regexp_extract("message", r"^(\d+)", 1).cast("bigint").alias("event_id"), "line_count")
 
 
@@ -376,7 +394,7 @@ def id_content(spark: SparkSession, d: str) -> DataFrame:
 @register("stream_ingest", "SELECT event_id AS n, event_type FROM events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Growing files tailed into an index, two files in one stream, to the end of input."""
-    where = shared(spark)
+    where = scratch(spark, "stream")
     catalog = Catalog(spark, f"{where}/catalog")
     df = table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("n"), "event_type")).alias("value"))
     df.repartition(2).write.text(f"{where}/in")

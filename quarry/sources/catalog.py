@@ -258,6 +258,12 @@ class Catalog:
             self._publish(index, m | {"retired": [*m["retired"], *retired], "live": live}, m["version"] + 1)
         return bool(retired)
 
+    def forget(self, index: str, stream: str) -> None:
+        """Drops what is known of a stream's batches."""
+        m = self.manifest(index)
+        if stream in m["batches"]:
+            self._publish(index, m | {"batches": {k: v for k, v in m["batches"].items() if k != stream}}, m["version"] + 1)
+
     def get(self, index: str, doc_id: str) -> dict[str, Any] | None:
         row = self.live(index).where(F.col("doc_id") == doc_id).select("source").first()
         return json.loads(row["source"]) if row else None

@@ -1,7 +1,12 @@
 """Files that grow as a streaming source: whole lines are delivered once, by byte ranges.
 
-The offset of the stream is {path: {"sig": ..., "at": byte}}. A file whose signature
-changed is another file and starts at 0; one that shrank was cut and starts at 0 too.
+The offset of the stream is {"device:inode": {"path": ..., "sig": ..., "at": byte}}, so a
+file keeps its place when it is renamed. A file that rotation has moved out of the pattern
+is looked for by its inode beside where it was, and read to its end; what then has its name
+is another file and starts at 0. One that shrank, or whose first bytes changed, was written
+anew and starts at 0 too. A micro-batch takes at most ``max_bytes`` (but a whole line, or
+record). With ``multiline`` lines are put together to records, and the last record of a
+file waits until the next one begins, or for the end of a stream that runs ``once``.
 """
 
 from __future__ import annotations
@@ -9,6 +14,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -19,11 +25,12 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from quarry.errors import IngestError
 from quarry.sources.catalog import Catalog
-from quarry.sources.lines import MAX_LINE_BYTES, doc_id, signature
+from quarry.sources.lines import MAX_LINE_BYTES, RANGE_BYTES, doc_id, lines_between, open_file, origin, records_between, signature
 from quarry.streaming.processors import Processor, process
 
-RANGE_BYTES = 8 << 20
-SCHEMA = "file string, sig string, offset bigint, end_offset bigint, message string, truncated boolean"
+SCHEMA = "file string, origin string, offset bigint, end_offset bigint, message string, truncated boolean, line_count int"
+#: How far back the beginning of an unfinished record is looked for.
+LOOK_BACK = 16 << 20
 
 
 def classify(old_sig: str | None, extent: int, sig: str, size: int) -> str:
@@ -65,12 +72,26 @@ def whole_lines(path: str, size: int) -> int:
     return 0
 
 
+#: Bytes of a line that are looked at to see whether it opens a record.
+HEAD_OF_LINE = 4096
+
+
+def last_start(path: str, start: int, end: int, opens: str) -> int:
+    """Where the last record before ``end`` begins; ``start`` if none does after it."""
+    rule, found = re.compile(opens), start
+    with open(path, "rb") as f:
+        for at, _, text, _ in lines_between(f, max(start, end - LOOK_BACK), end, HEAD_OF_LINE):
+            if rule.match(text):
+                found = at
+    return found
+
+
 @dataclass
 class Piece(InputPartition):
     path: str
-    sig: str
     start: int
     stop: int
+    until: int
 
 
 class TailReader(DataSourceStreamReader):
@@ -78,37 +99,86 @@ class TailReader(DataSourceStreamReader):
         self.pattern = options["path"]
         self.mode = options.get("from", "checkpoint")
         self.most = int(options.get("max_line_bytes", MAX_LINE_BYTES))
-
-    def _files(self) -> list[str]:
-        return sorted(p for p in glob.glob(self.pattern) if os.path.isfile(p))
+        self.budget = int(options.get("max_bytes", 0))
+        self.opens = options.get("multiline") or None
+        self.once = options.get("once") == "true"
+        self.checkpoint = options.get("checkpoint")
+        self.last: dict[str, dict] | None = None
+
+    def _resumed(self) -> dict[str, dict]:
+        """The offsets that the stream's own checkpoint planned last."""
+        if not self.checkpoint:
+            return {}
+        where = f"{self.checkpoint.removeprefix('file://')}/offsets"
+        numbers = [int(n) for n in os.listdir(where) if n.isdigit()] if os.path.isdir(where) else []
+        if not numbers:
+            return {}
+        with open(f"{where}/{max(numbers)}") as f:
+            return json.loads(json.loads(f.read().splitlines()[-1])["files"])
+
+    def _known(self) -> dict[str, dict]:
+        if self.last is None:
+            self.last = self._resumed()
+        return self.last
+
+    def _files(self) -> dict[str, str]:
+        """Paths by inode: of the pattern, and of known files that were moved beside it."""
+        def key(path: str) -> str:
+            st = os.stat(path)
+            return f"{st.st_dev}:{st.st_ino}"
+
+        found = {key(p): p for p in sorted(glob.glob(self.pattern)) if os.path.isfile(p)}
+        for k, was in self._known().items():
+            if k not in found and os.path.isdir(d := os.path.dirname(was["path"]) or "."):
+                found |= {k: e.path for e in os.scandir(d) if e.is_file() and key(e.path) == k}
+        return found
+
+    def _place(self, old: dict | None, sig: str, size: int) -> int:
+        return decide((old["sig"], old["at"]) if old else None, sig, size)[0]
 
     def initialOffset(self) -> dict:
-        skip = self.mode == "end"
-        return {"files": json.dumps({p: {"sig": signature(p), "at": whole_lines(p, os.path.getsize(p)) if skip else 0} for p in self._files()} if skip else {})}
+        if self.mode != "end":
+            return {"files": "{}"}
+        return {"files": json.dumps({k: {"path": p, "sig": signature(p), "at": whole_lines(p, os.path.getsize(p))} for k, p in self._files().items()})}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps({p: {"sig": signature(p), "at": whole_lines(p, os.path.getsize(p))} for p in self._files()})}
+        known, out, left = self._known(), {}, self.budget
+        for k, p in sorted(self._files().items(), key=lambda kp: kp[1]):
+            sig, size = signature(p), os.path.getsize(p)
+            at = self._place(known.get(k), sig, size)
+            end = whole_lines(p, size)
+            if self.opens and not self.once:
+                end = last_start(p, at, end, self.opens)
+            if self.budget and end - at > left:
+                end = min(end, self._boundary(p, at, max(0, left), end))
+            left -= end - at
+            out[k] = {"path": p, "sig": sig, "at": max(at, end)}
+        self.last = out
+        return {"files": json.dumps(out)}
+
+    def _boundary(self, path: str, at: int, room: int, end: int) -> int:
+        """The end of the line or record that spans ``room`` bytes on; at least one."""
+        if room <= 0 and self.budget:
+            return at
+        with open(path, "rb") as f:
+            for a, _, _, _, _ in records_between(f, at + room, end, self.most, self.opens, end):
+                return a
+        return end
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         before, after, out = json.loads(start["files"]), json.loads(end["files"]), []
-        for path, now in after.items():
-            old = before.get(path)
-            at, _ = decide((old["sig"], old["at"]) if old else None, now["sig"], now["at"])
-            out += [Piece(path, now["sig"], a, min(a + RANGE_BYTES, now["at"])) for a in range(at, now["at"], RANGE_BYTES)]
+        for k, now in after.items():
+            at = self._place(before.get(k), now["sig"], now["at"])
+            out += [Piece(now["path"], a, min(a + RANGE_BYTES, now["at"]), now["at"]) for a in range(at, now["at"], RANGE_BYTES)]
         return out
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        """The lines that begin in the piece."""
-        with open(piece.path, "rb") as f:
-            f.seek(max(0, piece.start - 1))
-            if piece.start and f.read(1) != b"\n":
-                f.readline()
-            while (at := f.tell()) < piece.stop:
-                line = f.readline()
-                if not line.endswith(b"\n"):
-                    return
-                text = line.rstrip(b"\n").removesuffix(b"\r")
-                yield piece.path, piece.sig, at, at + len(line), text[: self.most].decode("utf-8", "replace"), len(text) > self.most
+        """The lines or records that begin in the piece."""
+        f, _ = open_file(piece.path)
+        with f:
+            who = origin(piece.path, f)
+            for record in records_between(f, piece.start, piece.stop, self.most, self.opens, piece.until):
+                yield piece.path, who, *record
 
     def commit(self, end: dict) -> None:
         pass
@@ -126,9 +196,14 @@ class TailSource(DataSource):
         return TailReader(self.options)
 
 
-def tail(spark: SparkSession, path: str, start: str = "checkpoint") -> DataFrame:
+def tail(spark: SparkSession, path: str, start: str = "checkpoint", **options: object) -> DataFrame:
+    """``options``: max_line_bytes, max_bytes (of a micro-batch), multiline, once, checkpoint."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("tail").option("path", path).option("from", start).load()
+    reader = spark.readStream.format("tail").option("path", path).option("from", start)
+    for name, value in options.items():
+        if value is not None:
+            reader = reader.option(name, str(value).lower() if isinstance(value, bool) else str(value))
+    return reader.load()
 
 
 def ingest(records: DataFrame, catalog: Catalog, index: str, chain: list[Processor], checkpoint: str, id_mode: str = "offset", seconds: float | None = None):
@@ -136,7 +211,7 @@ def ingest(records: DataFrame, catalog: Catalog, index: str, chain: list[Process
     however often it is replayed. Without ``seconds`` the stream ends with the input."""
     if not catalog.exists(index):
         catalog.create(index)
-    key = doc_id(id_mode, F.col("message"), F.concat_ws(":", "file", "sig"), F.col("offset"))
+    key = doc_id(id_mode, F.col("message"), F.col("origin"), F.col("offset"))
 
     def store(batch: DataFrame, number: int) -> None:
         catalog.put_frame(index, process(batch, chain, key), (checkpoint, number))

@@ -24,6 +24,7 @@ from quarry.sources.lines import doc_id, read_lines
 from quarry.streaming import processors, tail
 
 log = logging.getLogger(__name__)
+VERSION = "0.2"
 EVENTS = ("index_created", "documents_indexed", "search")
 
 
@@ -33,10 +34,13 @@ class Quarry:
         self.catalog = Catalog(spark, root or self.settings.root)
         self.observers: dict[str, list[Callable[..., None]]] = defaultdict(list)
         self.streams: dict[str, Any] = {}
-        self.load_plugins()
+        self.plugins = self.load_plugins()
 
     # extension
 
+    def info(self) -> dict[str, Any]:
+        return {"name": "quarry", "version": VERSION, "spark": self.spark.version, "root": self.catalog.root, "indices": len(self.list_indices()), "plugins": self.plugins}
+
     def load_plugins(self) -> list[str]:
         """Entry points of the group ``quarry.plugins``: each is called with the engine. One
         that fails is skipped, or raised where plugins are strict."""
@@ -89,6 +93,10 @@ class Quarry:
     def get_mapping(self, name: str) -> dict[str, Any]:
         return self.catalog.mapping(name).to_dict()
 
+    def update_mapping(self, name: str, mapping: dict[str, Any]) -> dict[str, Any]:
+        """Adds fields; MappingError where one is mapped as another type."""
+        return self.catalog.update_mapping(name, mapping).to_dict()
+
     def stats(self, name: str) -> dict[str, int]:
         return self.catalog.stats(name)
 

@@ -174,14 +174,19 @@ def analyzer(name: str | None) -> Analyzer:
         raise ConfigurationError(f"unknown analyzer {name!r}") from None
 
 
-def iso_millis(text: Column) -> Column:
-    """Epoch milliseconds (half-even) of calendar ISO-8601 times; null where it isn't one.
-    Basic and extended forms; week dates are only read by the driver."""
+def iso_time(text: Column) -> Column:
+    """Calendar ISO-8601 times, in basic and extended form; null where it isn't one."""
     form = r"^(\d{4})(-?)(\d\d)\2(\d\d)(?:\D(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d\d(?::?\d\d)?)?)?$"
     g = lambda n, other: F.coalesce(F.nullif(F.regexp_extract(text, form, n), F.lit("")), F.lit(other))
     zone = F.regexp_replace(F.regexp_replace(g(9, "Z"), r"^([+-]\d\d)$", "$1:00"), r"^([+-]\d\d)(\d\d)$", "$1:$2")
     full = F.concat(g(1, ""), F.lit("-"), g(3, ""), F.lit("-"), g(4, ""), F.lit("T"), g(5, "00"), F.lit(":"), g(6, "00"), F.lit(":"), g(7, "00"), F.lit("."), g(8, "0"), zone)
-    return F.when(text.rlike(form), millis(full.try_cast("timestamp")))
+    return F.when(text.rlike(form), full.try_cast("timestamp"))
+
+
+def iso_millis(text: Column) -> Column:
+    """Epoch milliseconds (half-even) of :func:`iso_time`. Week dates are only read by the
+    driver."""
+    return millis(iso_time(text))
 
 
 def millis(at: Column) -> Column:

@@ -11,6 +11,9 @@ from typing import Any
 from quarry.errors import ConfigurationError
 
 
+LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
+
+
 @dataclass(frozen=True)
 class Settings:
     root: str = "quarry-data"
@@ -21,6 +24,16 @@ class Settings:
     trigger_seconds: float = 2.0
     plugins: tuple[str, ...] = ()
     strict_plugins: bool = False
+    host: str = "127.0.0.1"  # of the HTTP server
+    port: int = 9280
+    log_level: str = "INFO"
+    log_format: str = "text"  # or json
+
+    def __post_init__(self) -> None:
+        bad = [n for n in ("max_commits", "max_line_bytes", "max_bytes_per_trigger") if getattr(self, n) < 1]
+        bad += [n for n, ok in (("root", self.root), ("trigger_seconds", self.trigger_seconds > 0), ("port", 0 <= self.port < 65536), ("max_sort_candidates", self.max_sort_candidates is None or self.max_sort_candidates > 0), ("log_level", self.log_level in LOG_LEVELS), ("log_format", self.log_format in ("text", "json"))) if not ok]
+        if bad:
+            raise ConfigurationError(f"setting {bad[0]!r} can't be {getattr(self, bad[0])!r}")
 
 
 def _cast(name: str, kind: str, value: Any) -> Any:

@@ -1,4 +1,6 @@
-"""Record processors: a JSON document column in, one out; null drops the record."""
+"""Record processors: a document in, one out; null drops the record. A document is a map of
+its fields to variants, so that a chain parses JSON once and writes it once; the processors
+here are built-in functions throughout."""
 
 from __future__ import annotations
 
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.errors import PluginError
+from quarry.functions.analysis import iso_time
 
 Processor = Callable[[Column], Column]
 
+DOCUMENT = "map<string,variant>"
 TIME_FIELDS = ("@timestamp", "timestamp", "time", "ts", "date")
 LEADING_WORDS = 4
 FORMATS = ("%d/%b/%Y:%H:%M:%S %z", "%Y-%m-%d %H:%M:%S,%f", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S")
@@ -25,17 +29,28 @@ YEARLESS = "%b %d %H:%M:%S"
 
 
 def seed(message: Column) -> Column:
-    return F.to_json(F.struct(message.alias("message")))
+    return F.create_map(F.lit("message"), message.cast("variant"))
+
+
+def text_of(doc: Column, field: str) -> Column:
+    """A field that is a string, else null."""
+    value = F.try_element_at(doc, F.lit(field))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def extended(doc: Column, fields: Column) -> Column:
+    """``doc`` with the entries of the map ``fields`` in place of its own."""
+    return F.map_concat(F.map_filter(doc, lambda k, v: ~F.map_contains_key(fields, k)), fields)
 
 
 def json_line(doc: Column) -> Column:
-    """The message itself where it is a JSON object."""
-    message = F.get_json_object(doc, "$.message")
-    return F.when(F.schema_of_variant(F.try_parse_json(message)).startswith("OBJECT"), message).otherwise(doc)
+    """The message itself where it is a JSON object (one that names a field twice isn't)."""
+    message = text_of(doc, "message")
+    return F.when(F.schema_of_variant(F.try_parse_json(message)).startswith("OBJECT"), F.from_json(message, DOCUMENT)).otherwise(doc)
 
 
 def rows(function: Callable[[dict[str, Any]], dict[str, Any] | None]) -> Processor:
-    """A processor from a function of one document, in Arrow batches."""
+    """A processor from a Python function of one document, in Arrow batches."""
 
     @F.pandas_udf(T.StringType())
     def run(docs: pd.Series) -> pd.Series:
@@ -45,19 +60,23 @@ def rows(function: Callable[[dict[str, Any]], dict[str, Any] | None]) -> Process
 
         return docs.map(one, na_action=None)
 
-    return lambda doc: run(doc)
+    return lambda doc: F.from_json(run(F.to_json(doc)), DOCUMENT)
 
 
 def regex_extract(pattern: str) -> Processor:
-    """The named groups of the first match in the message as fields."""
-    rule = re.compile(pattern)
+    """The named groups of the first match in the message as fields; a group that takes no
+    part in the match, or matches no character, gives none. The pattern is in the syntax
+    that Python and Java share, with Python's names of groups."""
+    names = re.compile(pattern).groupindex
+    java = re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{names[m[1]]})", re.sub(r"\(\?P<\w+>", "(", pattern))
 
-    def extract(doc: dict[str, Any]) -> dict[str, Any]:
-        message = doc.get("message")
-        m = rule.search(message) if isinstance(message, str) else None
-        return doc if m is None else doc | {k: v for k, v in m.groupdict().items() if v is not None}
+    def extract(doc: Column) -> Column:
+        message = text_of(doc, "message")
+        found = F.array(*[F.struct(F.lit(n).alias("key"), F.regexp_extract(message, java, k).alias("value")) for n, k in names.items()])
+        entries = F.transform(F.filter(found, lambda x: x["value"] != ""), lambda x: F.struct(x["key"].alias("key"), x["value"].cast("variant").alias("value")))
+        return F.when(message.rlike(java), extended(doc, F.map_from_entries(entries))).otherwise(doc) if names else doc
 
-    return rows(extract)
+    return extract
 
 
 def normalized(at: datetime) -> str:
@@ -100,19 +119,69 @@ def parse_time(value: Any, year: int | None = None) -> str | None:
         return None
 
 
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_DAY, _CLOCK = r"(\d{1,2})", r"(\d{1,2}):(\d{1,2}):(\d{1,2})"
+#: Shapes besides epochs and ISO-8601: a pattern, and which groups are year, month, day,
+#: hour, minute, second, fraction and zone.
+_SHAPES = (
+    (rf"^{_DAY}/([A-Za-z]{{3}})/(\d{{4}}):{_CLOCK}\s+(Z|[+-]\d\d:?\d\d)$", (3, 2, 1, 4, 5, 6, None, 7)),
+    (rf"^(\d{{4}})-(\d{{1,2}})-{_DAY}\s+{_CLOCK}(?:,(\d{{1,6}}))?$", (1, 2, 3, 4, 5, 6, 7, None)),
+    (rf"^(\d{{4}})/(\d{{1,2}})/{_DAY}\s+{_CLOCK}$", (1, 2, 3, 4, 5, 6, None, None)),
+    (rf"^([A-Za-z]{{3}})\s+{_DAY}\s+{_CLOCK}$", (None, 1, 2, 3, 4, 5, None, None)),
+    (rf"^(?:[A-Za-z]{{3,9}},?\s+)?{_DAY}\s+([A-Za-z]{{3}})[a-z]*\s+(\d{{4}})\s+(\d{{1,2}}):(\d\d)(?::(\d\d))?(?:\s+([+-]\d{{4}}|[A-Z]{{1,5}}))?$", (3, 2, 1, 4, 5, 6, None, 7)),
+)
+_ZONES = {"EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
+
+
+def _shaped(text: Column, pattern: str, groups: tuple, year: int | None) -> Column:
+    def part(k: int | None) -> Column | None:
+        return None if k is None else F.regexp_extract(text, pattern, k)
+
+    y, mo, d, h, mi, s, frac, zone = map(part, groups)
+    y = y if y is not None else F.lit(str(year)) if year else F.date_format(F.current_timestamp(), "yyyy")
+    place = F.call_function("locate", F.lower(mo), F.lit(_MONTHS))
+    named = mo.rlike("^[A-Za-z]")
+    month = F.when(named & (F.pmod(place, F.lit(3)) == 1), ((place + 2) / 3).cast("int").cast("string")).when(~named, mo)
+    two = lambda c: F.lpad(c, 2, "0")
+    offset = F.lit("Z")
+    if zone is not None:
+        known = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])
+        offset = F.when(zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2")).otherwise(F.coalesce(F.try_element_at(known, zone), F.lit("Z")))
+    second = F.when(s != "", two(s)).otherwise("00")
+    fraction = F.when(frac != "", F.concat(F.lit("."), frac)).otherwise("") if frac is not None else F.lit("")
+    return F.concat(y, F.lit("-"), two(month), F.lit("-"), two(d), F.lit("T"), two(h), F.lit(":"), two(mi), F.lit(":"), second, fraction, offset).try_cast("timestamp")
+
+
+def _time(text: Column, year: int | None) -> Column:
+    """:func:`parse_time` of a string, as a timestamp; ISO week dates aren't read."""
+    n = F.when(text.rlike(r"^-?\d{9,14}(?:\..*)?$"), text.try_cast("double"))
+    out = F.when(n.isNotNull(), _epoch(n)).when(text.rlike(r"^\d{4}-?\d\d-?\d\d"), iso_time(text))
+    for pattern, groups in _SHAPES:
+        out = F.coalesce(out, F.when(text.rlike(pattern), _shaped(text, pattern, groups, year)))
+    return out
+
+
+def _epoch(n: Column) -> Column:
+    seconds = F.when(F.abs(n) >= 1e12, n / 1000).otherwise(n)
+    # years 1 to 9999
+    return F.when(seconds.between(-62135596800, 253402300799), F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
+
+
 def timestamp(fields: tuple[str, ...] = TIME_FIELDS, year: int | None = None) -> Processor:
     """``@timestamp`` from the first field that holds a time, else from the message's start."""
 
-    def stamp(doc: dict[str, Any]) -> dict[str, Any]:
-        given = [doc[f] for f in fields if doc.get(f) is not None]
-        message = doc.get("message")
-        if isinstance(message, str):
-            words = message.split(maxsplit=LEADING_WORDS)
-            given += [" ".join(words[:k]).rstrip(":,;") for k in range(1, min(LEADING_WORDS, len(words)) + 1)]
-        found = next((t for v in given if (t := parse_time(v, year))), None)
-        return doc if found is None else doc | {"@timestamp": found}
+    def stamp(doc: Column) -> Column:
+        values = [F.try_element_at(doc, F.lit(f)) for f in fields]
+        number = [F.when(F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")) for v in values]
+        words = F.slice(F.split(F.trim(text_of(doc, "message")), r"\s+", LEADING_WORDS + 1), 1, LEADING_WORDS)
+        heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.regexp_replace(F.array_join(F.slice(words, F.lit(1), k), " "), r"[:,;]+$", ""))
+        given = F.array(*[F.struct(n.alias("n"), F.trim(text_of(doc, f)).alias("t")) for f, n in zip(fields, number)])
+        tried = F.concat(given, F.coalesce(F.transform(heads, lambda t: F.struct(F.lit(None).cast("double").alias("n"), t.alias("t"))), F.array().cast("array<struct<n:double,t:string>>")))
+        at = F.aggregate(tried, F.lit(None).cast("timestamp"), lambda a, x: F.coalesce(a, _epoch(x["n"]), _time(x["t"], year)))
+        text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return F.when(at.isNotNull(), extended(doc, F.create_map(F.lit("@timestamp"), text.cast("variant")))).otherwise(doc)
 
-    return rows(stamp)
+    return stamp
 
 
 PROCESSORS: dict[str, Processor] = {"json_line": json_line, "timestamp": timestamp()}
@@ -128,8 +197,7 @@ def resolve(names: list[str], regex: str | None = None) -> list[Processor]:
 
 def process(records: DataFrame, chain: list[Processor], doc_id: Column | None = None) -> DataFrame:
     """(doc_id, source) of ``records`` (message, ...) after the chain."""
-    doc = seed(F.col("message"))
-    out = records.select((doc_id if doc_id is not None else F.lit(None).cast("string")).alias("doc_id"), doc.alias("source"))
+    out = records.select((doc_id if doc_id is not None else F.lit(None).cast("string")).alias("doc_id"), seed(F.col("message")).alias("document"))
     for step in chain:
-        out = out.withColumn("source", step(F.col("source"))).where("source is not null")
-    return out
+        out = out.withColumn("document", step(F.col("document"))).where("document is not null")
+    return out.select("doc_id", F.to_json("document").alias("source"))

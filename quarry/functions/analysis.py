@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cache
 
@@ -74,10 +74,21 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), several
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A class of ``chars``, in ranges: it is tried character by character."""
+    out: list[list[int]] = []
+    for k in sorted(map(ord, chars)):
+        if out and out[-1][1] == k - 1:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 @cache
 def _fold_parts() -> tuple[str, str, Column, str]:
     one, to, several = _foldings()
-    return one, to, F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01")), "[" + "".join(f"\\x{{{ord(k):x}}}" for k in several) + "]"
+    return one, to, F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01")), _ranges(several)
 
 
 def fold_column(term: Column) -> Column:

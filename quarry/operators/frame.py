@@ -77,20 +77,22 @@ def text_columns(name: str, value: Column, f: FieldMapping) -> dict[str, Column]
     return out
 
 
-def joined_texts(name: str, values: Column, f: FieldMapping) -> dict[str, Column]:
-    """Columns of a multi-valued text field: the values' terms one after another, positions
-    ``ARRAY_GAP`` apart."""
+def joined_texts(values: Column, f: FieldMapping) -> Column:
+    """(terms, pos) of a text field: the values' terms one after another, positions
+    ``ARRAY_GAP`` apart from value to value."""
     a = analyzer(f.analyzer)
+    empty = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<int>").alias("pos"))
 
-    def add(acc: Column, value: Column) -> Column:
+    def one(value: Column) -> Column:
         terms, at = a.columns(value)
-        at = F.transform(terms, lambda x, i: i) if at is None else at
+        return F.struct(terms.alias("terms"), (F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>")) if at is None else at).alias("pos"))
+
+    def add(acc: Column, value: Column) -> Column:
+        new = one(value)
         base = F.when(F.size(acc["pos"]) > 0, F.array_max(acc["pos"]) + 1 + ARRAY_GAP).otherwise(0)
-        return F.struct(F.concat(acc["terms"], terms).alias("terms"), F.concat(acc["pos"], F.transform(at, lambda p: p + base)).alias("pos"))
+        return F.struct(F.concat(acc["terms"], new["terms"]).alias("terms"), F.concat(acc["pos"], F.transform(new["pos"], lambda p: p + base)).alias("pos"))
 
-    empty = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<int>").alias("pos"))
-    both = F.aggregate(values, empty, add)
-    return {f"{name}__terms": both["terms"], f"{name}__pos": both["pos"]}
+    return F.when(F.size(values) == 1, one(F.get(values, F.lit(0)))).otherwise(F.aggregate(values, empty, add))
 
 
 def _with_lengths(df: DataFrame, mapping: Mapping) -> DataFrame:
@@ -126,19 +128,30 @@ def _at_most(n: int) -> Callable[[Column], Column]:
 
 
 def analyzed_json(docs: DataFrame, mapping: Mapping) -> DataFrame:
-    """``docs`` (doc_ord, doc_id, source as JSON) with the columns of every mapped field."""
-    v = F.parse_json("source")
-    out: dict[str, Column] = {}
+    """``docs`` (doc_ord, doc_id, source as JSON) with the columns of every mapped field. JSON
+    is parsed once a document and a field's values are read once, in projections of their
+    own, which the optimizer doesn't merge as their columns are used several times."""
+    kinds: dict[tuple[str, str], str] = {}
+    of: dict[str, str] = {}
     for n, f in mapping.fields.items():
         base = n.removesuffix(".keyword") if n.endswith(".keyword") and n.removesuffix(".keyword") in mapping.fields else n
         path = "$" + "".join(f'["{p}"]' for p in base.split("."))
         kind = {"date": "string", "text": "string"}.get(f.type, SPARK_TYPES.get(f.type, "string"))
-        many = F.try_variant_get(v, path, f"array<{kind}>")
-        one = F.try_variant_get(v, path, kind)
-        values = F.filter(F.coalesce(many, F.when(one.isNotNull(), F.array(one))), lambda x: x.isNotNull())
+        of[n] = kinds.setdefault((path, kind), f"__v{len(kinds)}")
+    parsed = docs.select("*", F.parse_json("source").alias("__json"))
+    given = parsed.select(
+        *docs.columns,
+        *[F.struct(F.try_variant_get("__json", path, f"array<{kind}>").alias("many"), F.try_variant_get("__json", path, kind).alias("one")).alias(v) for (path, kind), v in kinds.items()],
+    )
+    held = given.select(*docs.columns, *[F.filter(F.coalesce(c(v)["many"], F.when(c(v)["one"].isNotNull(), F.array(c(v)["one"]))), lambda x: x.isNotNull()).alias(v) for v in kinds.values()])
+    texts = {n: f"__t{k}" for k, n in enumerate(n for n, f in mapping.fields.items() if f.type == "text" and f.index)}
+    held = held.select("*", *[joined_texts(c(of[n]), mapping.fields[n]).alias(t) for n, t in texts.items()])
+    out: dict[str, Column] = {}
+    for n, f in mapping.fields.items():
+        values = c(of[n])
         if f.type == "text":
             if f.index:
-                out |= joined_texts(n, values, f)
+                out |= {f"{n}__terms": c(texts[n])["terms"], f"{n}__pos": c(texts[n])["pos"]}
             out[f"{n}__raw"] = F.get(values, F.lit(0))
             continue
         if f.type == "date":
@@ -148,5 +161,5 @@ def analyzed_json(docs: DataFrame, mapping: Mapping) -> DataFrame:
             out[f"{n}__raw"] = F.get(values, F.lit(0))
             values = F.filter(values, _at_most(f.ignore_above))
         out[n] = F.when(F.size(values) > 0, values)
-    got = docs.select("*", *[x.alias(k) for k, x in out.items()])
+    got = held.select(*docs.columns, *[x.alias(k) for k, x in out.items()])
     return _with_lengths(got, mapping)

@@ -17,7 +17,7 @@ from quarry.operators.score import LIVE, Scorer, bm25, idf, matches
 from quarry.operators.search import bucket_counts, page, project, terms_buckets
 from quarry.plans import jsondsl, pql
 from quarry.plans.ast import Bool, Phrase, Query as Node, TermsAgg
-from quarry.shared import scratch
+from quarry.shared import scratch, spread
 from quarry.sources.catalog import Catalog
 from quarry.sources.lines import doc_id, read_lines
 from quarry.streaming import processors
@@ -43,11 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def index(spark: SparkSession, sf_dir: str, name: str, analyzer: str | None = None) -> IndexFrame:
+def index(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> IndexFrame:
     mapping, key = MAPPINGS[name]
-    if analyzer:
-        mapping = parse_mapping({"properties": {k: {"type": f.type} | ({"analyzer": analyzer} if f.type == "text" else {}) for k, f in mapping.fields.items()}})
     df = table(spark, sf_dir, name)
+    df = spread(df) if wide else df
     values = {"props.k": F.get_json_object("props", "$.k").try_cast("bigint")} if name == "events" else {}
     return from_table(df, mapping, key, name, values=values)
 
@@ -59,7 +58,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> IndexFrame:
     """:func:`index` with stored postings, built once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = postings.persist(index(spark, sf_dir, name), scratch(spark, f"index-{name}"))
+        _KEPT[key] = postings.persist(index(spark, sf_dir, name, wide=True), scratch(spark, f"index-{name}"))
     return _KEPT[key]
 
 

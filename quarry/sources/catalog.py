@@ -25,6 +25,7 @@ from quarry.errors import IndexAlreadyExistsError, IndexNotFoundError, InvalidQu
 from quarry.mapping import DYNAMIC_IGNORE_ABOVE, FieldMapping, Mapping, infer, merge, parse_mapping, validate
 from quarry.operators import postings
 from quarry.operators.frame import IndexFrame, analyzed_json, c
+from quarry.shared import spread
 
 SCHEMA = "doc_ord bigint, doc_id string, source string"
 EMPTY = {"mapping": {}, "commits": [], "retired": [], "next_ord": 0, "batches": {}, "total": 0, "live": {"n": 0, "sums": {}}}
@@ -174,7 +175,7 @@ class Catalog:
         path = self._path(index, "staged", uuid.uuid4().hex)
         try:
             kept = docs.where("source is not null").select(F.coalesce("doc_id", F.expr("replace(uuid(), '-', '')")).alias("doc_id"), "source", F.monotonically_increasing_id().alias("row"))
-            kept.write.parquet(path)
+            spread(kept).write.parquet(path)  # rows keep their numbers
             staged = self.spark.read.schema("doc_id string, source string, row bigint").parquet(path)
             task = F.shiftright("row", ROW_BITS)
             tasks = staged.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.schema_of_variant_agg(F.parse_json("source")).alias("shape")).collect()

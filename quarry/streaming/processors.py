@@ -38,15 +38,19 @@ def text_of(doc: Column, field: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extended(doc: Column, fields: Column) -> Column:
     """``doc`` with the entries of the map ``fields`` in place of its own."""
-    return F.map_concat(F.map_filter(doc, lambda k, v: ~F.map_contains_key(fields, k)), fields)
+    return let(F.struct(doc.alias("d"), fields.alias("f")), lambda x: F.map_concat(F.map_filter(x["d"], lambda k, v: ~F.map_contains_key(x["f"], k)), x["f"]))
 
 
 def json_line(doc: Column) -> Column:
     """The message itself where it is a JSON object (one that names a field twice isn't)."""
-    message = text_of(doc, "message")
-    return F.when(F.schema_of_variant(F.try_parse_json(message)).startswith("OBJECT"), F.from_json(message, DOCUMENT)).otherwise(doc)
+    return let(text_of(doc, "message"), lambda m: F.when(F.schema_of_variant(F.try_parse_json(m)).startswith("OBJECT"), F.from_json(m, DOCUMENT)).otherwise(doc))
 
 
 def rows(function: Callable[[dict[str, Any]], dict[str, Any] | None]) -> Processor:
@@ -71,12 +75,14 @@ def regex_extract(pattern: str) -> Processor:
     java = re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{names[m[1]]})", re.sub(r"\(\?P<\w+>", "(", pattern))
 
     def extract(doc: Column) -> Column:
-        message = text_of(doc, "message")
+        return let(text_of(doc, "message"), lambda m: added(doc, m)) if names else doc
+
+    def added(doc: Column, message: Column) -> Column:
         found = F.array(*[F.struct(F.lit(n).alias("key"), F.regexp_extract(message, java, k).alias("value")) for n, k in names.items()])
         entries = F.transform(F.filter(found, lambda x: x["value"] != ""), lambda x: F.struct(x["key"].alias("key"), x["value"].cast("variant").alias("value")))
-        return F.when(message.rlike(java), extended(doc, F.map_from_entries(entries))).otherwise(doc) if names else doc
+        return F.when(message.rlike(java), extended(doc, F.map_from_entries(entries))).otherwise(doc)
 
-    return extract
+    return lambda doc: let(doc, extract)
 
 
 def normalized(at: datetime) -> str:
@@ -174,14 +180,14 @@ def timestamp(fields: tuple[str, ...] = TIME_FIELDS, year: int | None = None) ->
         values = [F.try_element_at(doc, F.lit(f)) for f in fields]
         number = [F.when(F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")) for v in values]
         words = F.slice(F.split(F.trim(text_of(doc, "message")), r"\s+", LEADING_WORDS + 1), 1, LEADING_WORDS)
-        heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.regexp_replace(F.array_join(F.slice(words, F.lit(1), k), " "), r"[:,;]+$", ""))
+        heads = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.regexp_replace(F.array_join(F.slice(w, F.lit(1), k), " "), r"[:,;]+$", "")))
         given = F.array(*[F.struct(n.alias("n"), F.trim(text_of(doc, f)).alias("t")) for f, n in zip(fields, number)])
         tried = F.concat(given, F.coalesce(F.transform(heads, lambda t: F.struct(F.lit(None).cast("double").alias("n"), t.alias("t"))), F.array().cast("array<struct<n:double,t:string>>")))
         at = F.aggregate(tried, F.lit(None).cast("timestamp"), lambda a, x: F.coalesce(a, _epoch(x["n"]), _time(x["t"], year)))
         text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-        return F.when(at.isNotNull(), extended(doc, F.create_map(F.lit("@timestamp"), text.cast("variant")))).otherwise(doc)
+        return let(text, lambda t: F.when(t.isNotNull(), extended(doc, F.create_map(F.lit("@timestamp"), t.cast("variant")))).otherwise(doc))
 
-    return stamp
+    return lambda doc: let(doc, stamp)
 
 
 PROCESSORS: dict[str, Processor] = {"json_line": json_line, "timestamp": timestamp()}

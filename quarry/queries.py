@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import Any
@@ -9,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.engine import Quarry
 from quarry.functions import analysis
 from quarry.mapping import Mapping, parse_mapping
 from quarry.operators import postings
@@ -397,6 +399,123 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     catalog = Catalog(spark, f"{where}/catalog")
     df = table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("n"), "event_type")).alias("value"))
     df.repartition(2).write.text(f"{where}/in")
-    ingest(tail(spark, f"{where}/in/part-*"), catalog, "events", processors.resolve(["json_line"]), f"{where}/progress").awaitTermination()
+    ingest(tail(spark, f"{where.removeprefix('file://')}/in/part-*"), catalog, "events", processors.resolve(["json_line"]), f"{where}/progress").awaitTermination()
     ix = catalog.frame("events")
     return ix.df.select(F.get("n", F.lit(0)).alias("n"), F.col("event_type__raw").alias("event_type"))
+
+
+# the facade, its envelope and the catalog's verbs
+
+
+def _engine(spark: SparkSession, d: str) -> Quarry:
+    """An engine whose index ``events`` is :func:`_loaded`'s."""
+    return Quarry(spark, _loaded(spark, d).root)
+
+
+_ERRORS = f"{value_scores('x', 'events', 'event_id', 'event_type', chr(101) + 'vent_type = ' + chr(39) + 'error' + chr(39))}"
+
+
+@register("search_envelope", f"WITH {_ERRORS} SELECT count(*) AS total, round(max(s), 6) AS max_score, least(count(*), 10) AS hits, min(id) AS first_n FROM x")
+def search_envelope(spark: SparkSession, d: str) -> DataFrame:
+    found = _engine(spark, d).search("events", "event_type:error")["hits"]
+    first = min(h["_source"]["n"] for h in found["hits"])
+    return spark.createDataFrame([(found["total"]["value"], round(found["max_score"], 6), len(found["hits"]), first)], "total bigint, max_score double, hits bigint, first_n bigint")
+
+
+_BUCKETS = "SELECT '{0}' AS agg, {0}::VARCHAR AS key, count(*) AS doc_count FROM events WHERE value < 1000 AND event_type <> 'error' GROUP BY ALL ORDER BY doc_count DESC, key LIMIT {1}"
+
+
+@register("several_aggs", f"SELECT * FROM ({_BUCKETS.format('event_type', 10)}) UNION ALL SELECT * FROM ({_BUCKETS.format('user_id', 7)})")
+def several_aggs(spark: SparkSession, d: str) -> DataFrame:
+    body = {"query": {"range": {"value": {"lt": 1000}}}, "size": 0, "aggs": {"event_type": {"terms": {"field": "event_type"}}, "user_id": {"terms": {"field": "user_id", "size": 7}}}}
+    body["query"] = {"bool": {"must": [body["query"]], "must_not": [{"term": {"event_type": "error"}}]}}
+    got = _engine(spark, d).search("events", body)["aggregations"]
+    return spark.createDataFrame([(name, b["key"], b["doc_count"]) for name, agg in got.items() for b in agg["buckets"]], "agg string, key string, doc_count bigint")
+
+
+@register("candidate_cap", "SELECT event_id FROM (SELECT * FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 100) ORDER BY value DESC NULLS LAST, event_id LIMIT 10")
+def candidate_cap(spark: SparkSession, d: str) -> DataFrame:
+    ix = index(spark, d, "events")
+    p = pql.parse("event_type:error | sort -value", ix.mapping)
+    return page(ix, matches(ix, p.query, scored=False), p.sort, cap=100).select(F.col("doc_ord").alias("event_id"))
+
+
+@register("catalog_stats", "SELECT (count(*) + count_if(event_type = 'error'))::BIGINT AS doc_count, count_if(event_type = 'error')::BIGINT AS deleted_count, count(*) AS live_count, 2 AS segment_count FROM events")
+def catalog_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = _loaded(spark, d).stats("events")
+    return spark.createDataFrame([(s["doc_count"], s["deleted_count"], s["live_count"], s["segment_count"])], "doc_count bigint, deleted_count bigint, live_count bigint, segment_count int")
+
+
+@register("repeated_ids", "SELECT user_id::VARCHAR AS doc_id, max(event_id) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Of one id's rows in a batch the last stands."""
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    catalog.create("users")
+    rows = table(spark, d, "events").where("user_id is not null").orderBy("event_id")
+    catalog.put_frame("users", rows.select(F.col("user_id").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("event_id").alias("n"))).alias("source")))
+    return catalog.frame("users").df.select("doc_id", F.get("n", F.lit(0)).alias("n"))
+
+
+@register("bulk_and_get", "SELECT n_nationkey AS key, n_name AS name FROM nation WHERE n_nationkey <> 3")
+def bulk_and_get(spark: SparkSession, d: str) -> DataFrame:
+    """All nations by bulk actions, one deleted, each then fetched by id."""
+    q = Quarry(spark, scratch(spark, "catalog"))
+    rows = table(spark, d, "nation").collect()  # the 25 of them
+    lines = [json.dumps(x) for r in rows for x in ({"index": {"_id": str(r["n_nationkey"])}}, {"name": r["n_name"]})]
+    q.bulk("\n".join([*lines, json.dumps({"delete": {"_id": "3"}})]), "nations")
+    got = [(r["n_nationkey"], q.get_document("nations", str(r["n_nationkey"]))) for r in rows]
+    return spark.createDataFrame([(k, doc["name"]) for k, doc in got if doc is not None], "key int, name string")
+
+
+@register("lifecycle", "SELECT * FROM (VALUES ('kept', 'a', 'keyword'), ('kept', 'b.c', 'long')) t(name, field, type)")
+def lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    q = Quarry(spark, scratch(spark, "catalog"))
+    q.create_index("kept", {"properties": {"a": {"type": "keyword"}}})
+    q.create_index("gone")
+    q.update_mapping("kept", {"properties": {"b": {"properties": {"c": {"type": "long"}}}}})
+    q.delete_index("gone")
+    rows = [(n, f, x["type"]) for n in q.list_indices() for f, x in q.get_mapping(n).items()]
+    return spark.createDataFrame(rows, "name string, field string, type string")
+
+
+@register("dotted_fields", "SELECT event_id AS n, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def dotted_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Nested objects, flattened to dotted fields as they are indexed."""
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    catalog.create("nested")
+    body = F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"p":'), F.col("props"), F.lit("}"))
+    catalog.put_frame("nested", table(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), body.alias("source")))
+    ix = catalog.frame("nested")
+    p = pql.parse("p.k:>=50 | fields n,p.k", ix.mapping)
+    return project(ix, matches(ix, p.query, scored=False), p.fields).withColumnRenamed("p.k", "k")
+
+
+_AT = "date_trunc('second', ts)"
+#: The fewest words that hold a time count, so of a date, a space and a clock the date.
+_STAMPS = f"SELECT event_id, strftime(CASE WHEN event_id % 7 = 4 THEN date_trunc('day', ts) ELSE {_AT} END, '%Y-%m-%dT%H:%M:%S.') || CASE WHEN event_id % 7 = 1 THEN '250Z' ELSE '000Z' END AS stamp FROM events"
+
+
+@register("ingest_timestamp_shapes", _STAMPS)
+def ingest_timestamp_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that begin with a time in one of seven shapes."""
+    at = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    shapes = [
+        F.unix_timestamp(at).cast("string"), (F.unix_timestamp(at) * 1000 + 250).cast("string"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(at, "dd/MMM/yyyy:HH:mm:ss '+0000'"),
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss',250'"), F.date_format(at, "yyyy/MM/dd HH:mm:ss"), F.date_format(at, "yyyyMMdd'T'HHmmss"),
+    ]
+    head = F.element_at(F.array(*shapes), (F.col("event_id") % 7 + 1).cast("int"))
+    lines = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.concat(head, F.lit(": "), F.col("event_type")).alias("message"))
+    got = processors.process(lines, processors.resolve(["timestamp"]), F.col("id"))
+    return got.select(F.col("doc_id").cast("bigint").alias("event_id"), F.get_json_object("source", "$.@timestamp").alias("stamp"))
+
+
+@register("stream_resume", "SELECT event_id AS n FROM events")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that ends and is taken up again where it was, with files that came meanwhile."""
+    where = scratch(spark, "stream")
+    q = Quarry(spark, f"{where}/catalog")
+    df = table(spark, d, "events")
+    for k, part in enumerate((df.where("event_type = 'error'"), df.where("event_type is distinct from 'error'"))):
+        part.select(F.to_json(F.struct(F.col("event_id").alias("n"))).alias("value")).write.text(f"{where}/in/{k}")
+        q.follow(f"{where.removeprefix('file://')}/in/*/part-*", "events", f"{where}/progress", ["json_line"], once=True).awaitTermination()
+    return q.catalog.frame("events").df.select(F.get("n", F.lit(0)).alias("n"))

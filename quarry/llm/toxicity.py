@@ -580,9 +580,30 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def averaged(states: DataFrame) -> DataFrame:
+    """One row (windows, steps, state) of a round's rows (part, windows, steps, state), or none:
+    the mean of the states by windows, worked out in one task with one more state in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most, mean = 0, np.zeros(2, dtype=np.int64), None
+        for batch in batches:
+            for windows, steps, state in zip(*batch.columns):
+                n, x = windows.as_py(), np.frombuffer(state.as_buffer(), dtype=np.float32).astype(np.float64)
+                x *= n
+                mean = x if mean is None else np.add(mean, x, out=mean)
+                total, most = total + n, np.maximum(most, steps.as_py())
+        if mean is not None:
+            state = (mean / total).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([most.tolist()]), pa.array([state], pa.binary())], ["windows", "steps", "state"])
+
+    found = states.where("windows > 0").coalesce(1).sortWithinPartitions("part", "windows", "state")
+    return found.select("windows", "steps", "state").mapInArrow(run, "windows bigint, steps array<bigint>, state binary")
+
+
 def train_spread(rows: DataFrame, seed: int = 7) -> Network | None:
     """:func:`train` of all :func:`labelled` rows, part by part in tasks; nothing where a class
-    has no window. What a round gives the driver is bounded by PARTS and VOCABULARY."""
+    has no window. A round gives the driver one state, whose size VOCABULARY bounds: those of
+    the parts go through the shared folder."""
     spark = rows.sparkSession
     words = saved(counts(rows).where((F.col("n") >= LEAST_DOCS) | F.col("word").isin(CLEAN, TOXIC)), "words")
     n = {r["word"]: r["n"] for r in words.where(F.col("word").isin(CLEAN, TOXIC)).collect()}
@@ -612,12 +633,11 @@ def train_spread(rows: DataFrame, seed: int = 7) -> Network | None:
 
             slots = [[s for s in range(EPOCHS * ROUNDS) if in_round(c, s, epoch, turn, repeats)] for c in (0, 1)]
             taken = rows.where(F.col("slot").isin(slots[1]) & ((F.col("toxic") == 1) | F.col("slot").isin(slots[0])))
-            got = taken.select("part", "key", "text", "toxic").mapInArrow(run, "part bigint, windows bigint, steps array<bigint>, state binary").collect()
-            got = sorted((r for r in got if r["windows"]), key=lambda r: (r["part"], r["windows"], bytes(r["state"])))
-            if got:
-                total = sum(r["windows"] for r in got)
-                learner.take(sum(np.frombuffer(r["state"], dtype=np.float32) * np.float32(r["windows"] / total) for r in got))
-                learner.steps += np.max([r["steps"] for r in got], axis=0)
+            states = saved(taken.select("part", "key", "text", "toxic").mapInArrow(run, "part bigint, windows bigint, steps array<bigint>, state binary"), "states")
+            for r in averaged(states).collect():
+                learner.take(np.frombuffer(r["state"], dtype=np.float32))
+                learner.steps += r["steps"]
+            discard(states)
             shared.destroy()
     return learner.net
 

@@ -285,6 +285,32 @@ def test_toxicity_takes_every_document_in_an_epoch():
         assert (weight * [clean * repeats / toxicity.EPOCHS, toxic]).sum() == pytest.approx(clean * repeats / toxicity.EPOCHS + toxic)
 
 
+def test_toxicity_rounds_give_the_driver_one_state(spark, monkeypatch):
+    """However many parts there are."""
+    monkeypatch.setattr(toxicity, "PART_CHARS", 10_000)
+    docs = table(spark, [(i, prose(30, i) + " vileword" * (i % 2), "s") for i in range(240)])
+    rows = toxicity.labelled(docs, toxicity.marks_of(spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id bigint, toxic int")))
+    assert rows.select("part").distinct().count() >= 3
+    given, collect = [], type(docs).collect
+
+    def seen(df):
+        got = collect(df)
+        given.append(sum(len(x) for r in got for x in r if isinstance(x, (bytes, bytearray))))
+        return got
+
+    monkeypatch.setattr(type(docs), "collect", seen)
+    net = toxicity.train_spread(rows)
+    assert max(given) == toxicity.Learner(net).state().nbytes
+
+
+def test_average_of_a_round(spark):
+    cells = [(0, 3, [2, 5], [1.0, 8.0]), (1, 1, [4, 1], [5.0, 0.0]), (2, 0, [0, 0], [99.0, 99.0])]
+    states = spark.createDataFrame([(k, n, s, bytearray(np.array(x, dtype=np.float32).tobytes())) for k, n, s, x in cells], "part bigint, windows bigint, steps array<bigint>, state binary")
+    (got,) = toxicity.averaged(states.repartition(3)).collect()
+    assert (got["windows"], got["steps"], np.frombuffer(got["state"], dtype=np.float32).tolist()) == (4, [4, 5], [2.0, 6.0])
+    assert toxicity.averaged(states.where("windows = 0")).collect() == []
+
+
 def test_threshold_of_all_scores(spark):
     scores = spark.createDataFrame([(k, 1, s) for k, s in enumerate([0.9, 0.9, 0.8, 0.8, 0.7, 0.2, 0.1])] + [(8, 0, 0.0), (9, 1, 0.99)], "doc_id bigint, n_windows bigint, score double")
     marks = spark.createDataFrame([(k, int(k in (0, 1, 2, 3, 5))) for k in range(9)], "l_id bigint, l_toxic int")

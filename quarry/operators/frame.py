@@ -44,7 +44,7 @@ class IndexFrame:
     def held(self, name: str) -> FieldMapping | None:
         """The mapping of an indexed field that this frame has a column for."""
         f = self.mapping.fields.get(name)
-        have = f is not None and f.index and (f"{name}__terms" if f.type == "text" else name) in self.columns
+        have = f is not None and f.index and (f"{name}__dl" if f.type == "text" else name) in self.columns
         return f if have else None
 
     def length(self, name: str) -> Column:

@@ -3,8 +3,9 @@
 Where an index has stored postings, each text leaf reads its terms' postings and is joined
 to the documents, and the statistics (live documents, average clamped lengths) are known.
 Otherwise one aggregate over the frame gives the statistics that scored leaves need, and
-terms and phrases are plain columns over all documents' terms. Either way the statistics
-enter the plan as literals. Prefixes and ranges score the sum of BM25 over every term they
+terms and phrases are plain columns over all documents' terms, or of a table that
+:meth:`Scorer.tally` writes as it reads the texts, once. Either way the statistics enter the
+plan as literals. Prefixes and ranges score the sum of BM25 over every term they
 match, whose frequencies come from a grouped table.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,12 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
             return F.size(F.filter(beside, lambda x: x == F.struct(*[F.lit(w).alias(f"t{k}") for k, w in enumerate(node.terms)])))
 
         return F.coalesce(_let(terms, windows), F.lit(0))
-    at = c(f"{node.field}__pos") if gaps else F.transform(terms, lambda x, i: i)
+    # what isn't a word of the phrase goes first, so that the rest looks at a few terms
+    words = list(dict.fromkeys(node.terms))
+    if gaps:
+        few = F.filter(F.arrays_zip(terms.alias("term"), c(f"{node.field}__pos").alias("pos")), lambda x: x["term"].isin(words))
+    else:
+        few = F.filter(F.transform(terms, lambda x, i: F.when(x.isin(words), F.struct(x.alias("term"), i.alias("pos")))), lambda x: x.isNotNull())
 
     def starts(placed: Column) -> Column:
         def place(term: str) -> Column:
@@ -60,7 +67,7 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
 
         return beside([place(t) for t in node.terms], node.slop)
 
-    return F.coalesce(_let(F.arrays_zip(terms.alias("term"), at.alias("pos")), starts), F.lit(0))
+    return F.coalesce(_let(few, starts), F.lit(0))
 
 
 def _within(node: Range) -> Callable[[Column], Column]:
@@ -76,6 +83,10 @@ def _within(node: Range) -> Callable[[Column], Column]:
     return test
 
 
+def _any(tests: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:
+    return lambda x: reduce(Column.__or__, [test(x) for test in tests])
+
+
 def _less(k: int) -> Callable[[Column], Column]:
     return lambda x: x - k
 
@@ -184,15 +195,43 @@ class Scorer:
     def _bind(self, node: Query, scored: bool) -> DataFrame:
         """The frame with a column for each text leaf that postings answer."""
         df, counted = self.index.df, set(self._leaves(node)) if scored else set()
-        self.bound = {}
         if self.index.postings is None:
             return df
+        self.bound = {}
         for leaf in dict.fromkeys(self._text_leaves(node)):
             self.match(leaf)  # refuses what the field can't answer
             name = self.bound[leaf] = f"__t{len(self.bound)}"
             df = df.join(self._posted(leaf, leaf in counted).withColumnRenamed("x", name), "doc_ord", "left")
         return df
 
+    # frequencies without postings
+
+    def _tf(self, leaf: Term | Phrase) -> Column:
+        """How often a word or phrase is among a document's terms; null where it isn't."""
+        terms, words = c(f"{leaf.field}__terms"), (leaf.value,) if isinstance(leaf, Term) else leaf.terms
+        tf = F.size(terms) - F.size(F.array_remove(terms, words[0])) if len(words) == 1 else F.nullif(phrase_tf(self.index, leaf), F.lit(0))
+        held = F.array_contains(terms, words[0])
+        for w in dict.fromkeys(words[1:]):
+            held = held & F.array_contains(terms, w)
+        return F.when(held, tf)
+
+    def tally(self, node: Query, save: Callable[[DataFrame], DataFrame]) -> None:
+        """Puts a table in place of a frame without postings, for ``node`` alone: exact fields,
+        lengths and each text leaf's frequencies. Texts are thus analyzed once, as ``save``
+        writes it, and statistics, matches and scores read numbers. Of the terms only those
+        that a prefix covers stay."""
+        texts, covered, tfs = self.index.mapping.text_fields(), {}, {}
+        for leaf in dict.fromkeys(self._text_leaves(node)):
+            self.match(leaf)  # refuses what the field can't answer
+            if isinstance(leaf, Term | Phrase):
+                tfs[leaf] = self._tf(leaf).alias(f"__t{len(tfs)}")
+            else:
+                covered.setdefault(leaf.field, []).append(self._test(leaf))
+        gone = {f"{n}__{x}" for n in texts for x in ("terms", "pos", "raw")}
+        terms = [F.filter(c(f"{n}__terms"), _any(tests)).alias(f"{n}__terms") for n, tests in covered.items()]
+        self.index = replace(self.index, df=save(self.index.df.select(*[c(x) for x in self.index.df.columns if x not in gone], *terms, *tfs.values())))
+        self.bound = {leaf: f"__t{k}" for k, leaf in enumerate(tfs)}
+
     # statistics
 
     def _leaves(self, node: Query) -> list[Leaf]:

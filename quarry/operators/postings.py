@@ -7,30 +7,54 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.frame import IndexFrame, c
+from quarry.operators.frame import IndexFrame, c, let
 
 SCHEMA = "field string, term string, doc_ord bigint, tf int, positions array<int>, dl int"
 ROW_GROUP_BYTES = 8 << 20
 
 
+def _runs(placed: Column) -> Column:
+    """``placed``, pairs (term, pos) in order, as one (term, positions) a term."""
+
+    def firsts(x: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(x["t"]) - 1), lambda i: (i == 0) | (F.get(x["t"], i) != F.get(x["t"], i - 1)))
+        return let(F.struct(x["t"].alias("t"), x["p"].alias("p"), at.alias("at")), cut)
+
+    def cut(x: Column) -> Column:
+        def run(a: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(x["at"], k + 1), F.size(x["t"]))
+            return F.struct(F.get(x["t"], a).alias("term"), F.slice(x["p"], a + 1, end - a).alias("positions"))
+
+        return F.transform(x["at"], run)
+
+    return F.when(F.size(placed) > 0, let(F.struct(placed["term"].alias("t"), placed["pos"].alias("p")), firsts))
+
+
 def build(index: IndexFrame) -> DataFrame:
-    """Postings of every text field. Tokens are shuffled once, to ranges of (field, term,
-    doc_ord), so that a frequent term spreads over several."""
+    """Postings of every text field. A document's tokens are grouped within its row; its
+    postings are shuffled once, to ranges of (field, term, doc_ord), so that a frequent term
+    spreads over several."""
     parts = []
     for name in index.mapping.text_fields():
         if index.held(name) is None:
             continue
         at = c(f"{name}__pos") if f"{name}__pos" in index.columns else F.transform(c(f"{name}__terms"), lambda x, i: i)
-        each = index.df.select(F.lit(name).alias("field"), "doc_ord", c(f"{name}__dl").alias("dl"), F.explode(F.arrays_zip(c(f"{name}__terms").alias("term"), at.alias("pos"))).alias("x"))
-        parts.append(each.select("field", "x.term", "doc_ord", "dl", "x.pos"))
+        placed = index.df.select("doc_ord", c(f"{name}__dl").alias("dl"), F.sort_array(F.arrays_zip(c(f"{name}__terms").alias("term"), at.alias("pos"))).alias("placed"))
+        each = placed.select("doc_ord", "dl", F.explode(_runs(F.col("placed"))).alias("x"))
+        parts.append(each.select(F.lit(name).alias("field"), "x.term", "doc_ord", F.size("x.positions").alias("tf"), "x.positions", "dl"))
     if not parts:
         return index.df.sparkSession.createDataFrame([], SCHEMA)
-    tokens = reduce(DataFrame.unionByName, parts).repartitionByRange("field", "term", "doc_ord")
-    grouped = tokens.groupBy("field", "term", "doc_ord", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("field", "term", "doc_ord", "tf", "positions", "dl")
+    return reduce(DataFrame.unionByName, parts).repartitionByRange("field", "term", "doc_ord")
+
+
+def terms(index: IndexFrame) -> DataFrame:
+    """(field, term) of every text field, as often as they occur: what :func:`scan` needs,
+    without postings."""
+    parts = [index.df.select(F.lit(n).alias("field"), F.explode(c(f"{n}__terms")).alias("term")) for n in index.mapping.text_fields() if index.held(n) is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else index.df.sparkSession.createDataFrame([], "field string, term string")
 
 
 def write(postings: DataFrame, path: str) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.errors import UnsupportedFeatureError
-from quarry.operators.frame import IndexFrame, c
+from quarry.operators.frame import IndexFrame, c, let
 from quarry.plans.ast import Bool, Exists, MatchAll, Phrase, Prefix, Query, Range, Term
 
 K1, B = 1.2, 0.75
@@ -38,10 +38,6 @@ def bm25(weight: Column | float, tf: Column, dl: Column, avgdl: float) -> Column
     return F.lit(weight) * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * ratio))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
     """Starts of the phrase in a document: of its first term, such that the nearest next
     terms take at most ``slop`` extra positions."""
@@ -53,7 +49,7 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
             beside = F.arrays_zip(*[F.slice(t, k + 1, F.size(t)).alias(f"t{k}") for k in range(n)])
             return F.size(F.filter(beside, lambda x: x == F.struct(*[F.lit(w).alias(f"t{k}") for k, w in enumerate(node.terms)])))
 
-        return F.coalesce(_let(terms, windows), F.lit(0))
+        return F.coalesce(let(terms, windows), F.lit(0))
     # what isn't a word of the phrase goes first, so that the rest looks at a few terms
     words = list(dict.fromkeys(node.terms))
     if gaps:
@@ -67,7 +63,7 @@ def phrase_tf(index: IndexFrame, node: Phrase) -> Column:
 
         return beside([place(t) for t in node.terms], node.slop)
 
-    return F.coalesce(_let(few, starts), F.lit(0))
+    return F.coalesce(let(few, starts), F.lit(0))
 
 
 def _within(node: Range) -> Callable[[Column], Column]:
@@ -102,7 +98,7 @@ def beside(places: list[Column], slop: int) -> Column:
     def spread(start: Column, k: int, here: Column) -> Column:
         if k == len(places):
             return here - start - (len(places) - 1) <= slop
-        return _let(F.array_min(F.filter(places[k], lambda q: q > here)), lambda q: spread(start, k + 1, q))
+        return let(F.array_min(F.filter(places[k], lambda q: q > here)), lambda q: spread(start, k + 1, q))
 
     return F.size(F.filter(places[0], lambda p: F.coalesce(spread(p, 1, p), F.lit(False))))
 

@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from quarry.errors import ConfigurationError
 
 TOKEN_CHARS = 255
+SEPARATOR = "\x01"
 #: Every character that Python's str.isspace holds for.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 STOP_EN = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     columns: Callable[[Column], Column]
@@ -35,6 +41,7 @@ class Filter:
     keep: Callable[[Column], Column] | None = None
     keep_python: Callable[[str], bool] | None = None
     empties: bool = False  # whether a changed term may be empty; such terms are dropped
+    change_all: Callable[[Column], Column] | None = None  # ``change`` of an array of terms, all at once
 
 
 def _split(java: str, python: str) -> Tokenizer:
@@ -100,6 +107,28 @@ def fold_column(term: Column) -> Column:
     return F.when(ascii_ != "", ascii_).otherwise(term)
 
 
+def fold_terms(terms: Column) -> Column:
+    """:func:`fold_column` of an array's terms, as one text: a call a document, not a token.
+    Terms that hold the separator are folded one by one."""
+    one, to, several, any_of = _fold_parts()
+
+    def folded(x: Column) -> Column:
+        spelled = F.array_join(F.transform(F.split(x["text"], ""), lambda y: F.coalesce(F.try_element_at(several, y), y)), "")
+        text = F.when(F.regexp_replace(x["text"], r"[\x00-\x7f]+", "").rlike(any_of), spelled).otherwise(x["text"])
+        parts = F.split(F.regexp_replace(F.translate(text, one, to), r"[^\x00-\x7f]+", ""), SEPARATOR)
+        return let(F.struct(x["terms"].alias("terms"), parts.alias("parts")), whole)
+
+    def whole(x: Column) -> Column:
+        # a term that nothing is left of stays as it was
+        filled = F.when(F.array_contains(x["parts"], ""), F.transform(x["parts"], lambda y, i: F.when(y == "", F.get(x["terms"], i)).otherwise(y))).otherwise(x["parts"])
+        return F.when(F.size(x["parts"]) == F.size(x["terms"]), filled).otherwise(F.transform(x["terms"], fold_column))
+
+    def joined(x: Column) -> Column:
+        return F.when(F.octet_length(x["text"]) > F.length(x["text"]), let(x, folded)).otherwise(x["terms"])
+
+    return let(terms, lambda t: let(F.struct(t.alias("terms"), F.array_join(t, SEPARATOR).alias("text")), joined))
+
+
 def stop(words: frozenset[str] = STOP_EN) -> Filter:
     listed = sorted({w.lower() for w in words})
     return Filter(keep=lambda x: ~F.lower(x).isin(listed), keep_python=lambda x: x.lower() not in listed)
@@ -117,7 +146,7 @@ def truncate(n: int) -> Filter:
 
 
 LOWERCASE = Filter(change=F.lower, change_python=str.lower)
-ASCII_FOLDING = Filter(change=lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), fold_column(x)).otherwise(x), change_python=fold)
+ASCII_FOLDING = Filter(change=lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), fold_column(x)).otherwise(x), change_python=fold, change_all=fold_terms)
 FILTERS: dict[str, Callable[..., Filter]] = {"lowercase": lambda: LOWERCASE, "asciifolding": lambda: ASCII_FOLDING, "stop": stop, "length": length, "truncate": truncate}
 
 
@@ -146,7 +175,7 @@ class Analyzer:
             terms = self.tokenizer.columns(text)
         for f in filters:
             if f.change is not None:
-                terms = F.transform(terms, f.change)
+                terms = f.change_all(terms) if f.change_all is not None else F.transform(terms, f.change)
             else:
                 if at is None:
                     at = F.transform(terms, lambda x, i: i)
@@ -185,13 +214,23 @@ def analyzer(name: str | None) -> Analyzer:
         raise ConfigurationError(f"unknown analyzer {name!r}") from None
 
 
+def groups_of(text: Column, form: str, n: int) -> Column:
+    """The ``n`` groups of ``form``, which matches ``text`` from ^ to $, in one matching; empty
+    where they take no part. They don't hold the separator."""
+    return F.split(F.regexp_replace(text, form + r"[\s\S]*", SEPARATOR.join(f"${k}" for k in range(1, n + 1))), SEPARATOR)
+
+
 def iso_time(text: Column) -> Column:
     """Calendar ISO-8601 times, in basic and extended form; null where it isn't one."""
     form = r"^(\d{4})(-?)(\d\d)\2(\d\d)(?:\D(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d\d(?::?\d\d)?)?)?$"
-    g = lambda n, other: F.coalesce(F.nullif(F.regexp_extract(text, form, n), F.lit("")), F.lit(other))
-    zone = F.regexp_replace(F.regexp_replace(g(9, "Z"), r"^([+-]\d\d)$", "$1:00"), r"^([+-]\d\d)(\d\d)$", "$1:$2")
-    full = F.concat(g(1, ""), F.lit("-"), g(3, ""), F.lit("-"), g(4, ""), F.lit("T"), g(5, "00"), F.lit(":"), g(6, "00"), F.lit(":"), g(7, "00"), F.lit("."), g(8, "0"), zone)
-    return F.when(text.rlike(form), full.try_cast("timestamp"))
+
+    def at(groups: Column) -> Column:
+        g = lambda n, other: F.coalesce(F.nullif(F.get(groups, F.lit(n - 1)), F.lit("")), F.lit(other))
+        zone = F.regexp_replace(F.regexp_replace(g(9, "Z"), r"^([+-]\d\d)$", "$1:00"), r"^([+-]\d\d)(\d\d)$", "$1:$2")
+        full = F.concat(g(1, ""), F.lit("-"), g(3, ""), F.lit("-"), g(4, ""), F.lit("T"), g(5, "00"), F.lit(":"), g(6, "00"), F.lit(":"), g(7, "00"), F.lit("."), g(8, "0"), zone)
+        return full.try_cast("timestamp")
+
+    return F.when(text.rlike(form), let(groups_of(text, form, 9), at))
 
 
 def iso_millis(text: Column) -> Column:

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.analysis import analyzer, iso_millis, millis
+from quarry.functions.analysis import analyzer, iso_millis, let, millis
 from quarry.mapping import SPARK_TYPES, FieldMapping, Mapping
 
 MAX_DL = 255
@@ -25,11 +25,6 @@ def c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 @dataclass
 class IndexFrame:
     df: DataFrame

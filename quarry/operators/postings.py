@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.frame import IndexFrame, c, let
+from quarry.functions.analysis import let
+from quarry.operators.frame import IndexFrame, c
 
 SCHEMA = "field string, term string, doc_ord bigint, tf int, positions array<int>, dl int"
 ROW_GROUP_BYTES = 8 << 20

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.errors import UnsupportedFeatureError
-from quarry.operators.frame import IndexFrame, c, let
+from quarry.functions.analysis import let
+from quarry.operators.frame import IndexFrame, c
 from quarry.plans.ast import Bool, Exists, MatchAll, Phrase, Prefix, Query, Range, Term
 
 K1, B = 1.2, 0.75

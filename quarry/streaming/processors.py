@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.errors import PluginError
-from quarry.functions.analysis import iso_time
+from quarry.functions.analysis import groups_of, iso_time, let
 
 Processor = Callable[[Column], Column]
 
@@ -28,6 +28,12 @@ FORMATS = ("%d/%b/%Y:%H:%M:%S %z", "%Y-%m-%d %H:%M:%S,%f", "%Y-%m-%d %H:%M:%S",
 YEARLESS = "%b %d %H:%M:%S"
 
 
+def keeps(step: Processor) -> Processor:
+    """Marks a processor that drops no record, so that none are looked for."""
+    step.keeps = True
+    return step
+
+
 def seed(message: Column) -> Column:
     return F.create_map(F.lit("message"), message.cast("variant"))
 
@@ -38,11 +44,6 @@ def text_of(doc: Column, field: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def extended(doc: Column, fields: Column) -> Column:
     """``doc`` with the entries of the map ``fields`` in place of its own."""
     return let(F.struct(doc.alias("d"), fields.alias("f")), lambda x: F.map_concat(F.map_filter(x["d"], lambda k, v: ~F.map_contains_key(x["f"], k)), x["f"]))
@@ -82,7 +83,7 @@ def regex_extract(pattern: str) -> Processor:
         entries = F.transform(F.filter(found, lambda x: x["value"] != ""), lambda x: F.struct(x["key"].alias("key"), x["value"].cast("variant").alias("value")))
         return F.when(message.rlike(java), extended(doc, F.map_from_entries(entries))).otherwise(doc)
 
-    return lambda doc: let(doc, extract)
+    return keeps(lambda doc: let(doc, extract))
 
 
 def normalized(at: datetime) -> str:
@@ -139,38 +140,45 @@ _SHAPES = (
 _ZONES = {"EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
 
 
-def _shaped(text: Column, pattern: str, groups: tuple, year: int | None) -> Column:
-    def part(k: int | None) -> Column | None:
-        return None if k is None else F.regexp_extract(text, pattern, k)
+#: What any shape begins with.
+_BEGINS = r"^(?:-?\d|[A-Za-z]{3,9},?\s+\d)"
+
 
-    y, mo, d, h, mi, s, frac, zone = map(part, groups)
-    y = y if y is not None else F.lit(str(year)) if year else F.date_format(F.current_timestamp(), "yyyy")
-    place = F.call_function("locate", F.lower(mo), F.lit(_MONTHS))
-    named = mo.rlike("^[A-Za-z]")
-    month = F.when(named & (F.pmod(place, F.lit(3)) == 1), ((place + 2) / 3).cast("int").cast("string")).when(~named, mo)
-    two = lambda c: F.lpad(c, 2, "0")
-    offset = F.lit("Z")
-    if zone is not None:
-        known = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])
-        offset = F.when(zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2")).otherwise(F.coalesce(F.try_element_at(known, zone), F.lit("Z")))
-    second = F.when(s != "", two(s)).otherwise("00")
-    fraction = F.when(frac != "", F.concat(F.lit("."), frac)).otherwise("") if frac is not None else F.lit("")
-    return F.concat(y, F.lit("-"), two(month), F.lit("-"), two(d), F.lit("T"), two(h), F.lit(":"), two(mi), F.lit(":"), second, fraction, offset).try_cast("timestamp")
+def _shaped(groups: tuple, year: int | None) -> Callable[[Column], Column]:
+    def at(found: Column) -> Column:
+        def part(k: int | None) -> Column | None:
+            return None if k is None else F.get(found, F.lit(k - 1))
+
+        y, mo, d, h, mi, s, frac, zone = map(part, groups)
+        y = y if y is not None else F.lit(str(year)) if year else F.date_format(F.current_timestamp(), "yyyy")
+        place = F.call_function("locate", F.lower(mo), F.lit(_MONTHS))
+        named = mo.rlike("^[A-Za-z]")
+        month = F.when(named & (F.pmod(place, F.lit(3)) == 1), ((place + 2) / 3).cast("int").cast("string")).when(~named, mo)
+        two = lambda c: F.lpad(c, 2, "0")
+        offset = F.lit("Z")
+        if zone is not None:
+            known = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in kv])
+            offset = F.when(zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^([+-]\d\d):?(\d\d)$", "$1:$2")).otherwise(F.coalesce(F.try_element_at(known, zone), F.lit("Z")))
+        second = F.when(s != "", two(s)).otherwise("00")
+        fraction = F.when(frac != "", F.concat(F.lit("."), frac)).otherwise("") if frac is not None else F.lit("")
+        return F.concat(y, F.lit("-"), two(month), F.lit("-"), two(d), F.lit("T"), two(h), F.lit(":"), two(mi), F.lit(":"), second, fraction, offset).try_cast("timestamp")
+
+    return at
 
 
 def _time(text: Column, year: int | None) -> Column:
     """:func:`parse_time` of a string, as a timestamp; ISO week dates aren't read."""
-    n = F.when(text.rlike(r"^-?\d{9,14}(?:\..*)?$"), text.try_cast("double"))
-    out = F.when(n.isNotNull(), _epoch(n)).when(text.rlike(r"^\d{4}-?\d\d-?\d\d"), iso_time(text))
+    out = F.when(text.rlike(r"^-?\d{9,14}(?:\..*)?$"), _epoch(text.try_cast("double"))).when(text.rlike(r"^\d{4}-?\d\d-?\d\d"), iso_time(text))
     for pattern, groups in _SHAPES:
-        out = F.coalesce(out, F.when(text.rlike(pattern), _shaped(text, pattern, groups, year)))
-    return out
+        read = let(groups_of(text, pattern, max(k for k in groups if k)), _shaped(groups, year))
+        out = F.coalesce(out, F.when(text.rlike(pattern), read))
+    return F.when(text.rlike(_BEGINS), out)
 
 
 def _epoch(n: Column) -> Column:
-    seconds = F.when(F.abs(n) >= 1e12, n / 1000).otherwise(n)
+    seconds = let(n, lambda v: F.when(F.abs(v) >= 1e12, v / 1000).otherwise(v))
     # years 1 to 9999
-    return F.when(seconds.between(-62135596800, 253402300799), F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
+    return let(seconds, lambda s: F.when(s.between(-62135596800, 253402300799), F.timestamp_micros(F.rint(s * 1e6).cast("bigint"))))
 
 
 def timestamp(fields: tuple[str, ...] = TIME_FIELDS, year: int | None = None) -> Processor:
@@ -180,14 +188,20 @@ def timestamp(fields: tuple[str, ...] = TIME_FIELDS, year: int | None = None) ->
         values = [F.try_element_at(doc, F.lit(f)) for f in fields]
         number = [F.when(F.schema_of_variant(v).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")) for v in values]
         words = F.slice(F.split(F.trim(text_of(doc, "message")), r"\s+", LEADING_WORDS + 1), 1, LEADING_WORDS)
-        heads = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.regexp_replace(F.array_join(F.slice(w, F.lit(1), k), " "), r"[:,;]+$", "")))
+        none = F.lit(None).cast("timestamp")
+
+        def head(w: Column, k: Column) -> Column:
+            return let(F.regexp_replace(F.array_join(F.slice(w, F.lit(1), k), " "), r"[:,;]+$", ""), lambda t: _time(t, year))
+
+        # a head is put together only where no time was found before
+        heads = let(words, lambda w: F.aggregate(F.sequence(F.lit(1), F.size(w)), none, lambda a, k: F.coalesce(a, head(w, k))))
         given = F.array(*[F.struct(n.alias("n"), F.trim(text_of(doc, f)).alias("t")) for f, n in zip(fields, number)])
-        tried = F.concat(given, F.coalesce(F.transform(heads, lambda t: F.struct(F.lit(None).cast("double").alias("n"), t.alias("t"))), F.array().cast("array<struct<n:double,t:string>>")))
-        at = F.aggregate(tried, F.lit(None).cast("timestamp"), lambda a, x: F.coalesce(a, _epoch(x["n"]), _time(x["t"], year)))
+        given = F.filter(given, lambda x: x["n"].isNotNull() | x["t"].isNotNull())
+        at = F.coalesce(F.aggregate(given, none, lambda a, x: F.coalesce(a, _epoch(x["n"]), _time(x["t"], year))), heads)
         text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
         return let(text, lambda t: F.when(t.isNotNull(), extended(doc, F.create_map(F.lit("@timestamp"), t.cast("variant")))).otherwise(doc))
 
-    return lambda doc: let(doc, stamp)
+    return keeps(lambda doc: let(doc, stamp))
 
 
 PROCESSORS: dict[str, Processor] = {"json_line": json_line, "timestamp": timestamp()}
@@ -205,5 +219,7 @@ def process(records: DataFrame, chain: list[Processor], doc_id: Column | None =
     """(doc_id, source) of ``records`` (message, ...) after the chain."""
     out = records.select((doc_id if doc_id is not None else F.lit(None).cast("string")).alias("doc_id"), seed(F.col("message")).alias("document"))
     for step in chain:
-        out = out.withColumn("document", step(F.col("document"))).where("document is not null")
+        out = out.withColumn("document", step(F.col("document")))
+        if not getattr(step, "keeps", False):  # the optimizer works a step out again in such a filter
+            out = out.where("document is not null")
     return out.select("doc_id", F.to_json("document").alias("source"))
